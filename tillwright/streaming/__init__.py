@@ -1,0 +1 @@
+"""Intentionally empty: every input this engine covers is a bounded table, so no stream operator exists."""
