@@ -2,7 +2,8 @@
 
 An entry names its output columns once, with a type letter; the same list finishes the DataFrame and the SQL
 text, so both sides return equal names, types and rounding:
-d date, s text, n whole number, m exact amount, f computed number (6 places), b boolean, t timestamp as text.
+d date, s text, n whole number, m exact amount, c amount summed as floating point (2 places), r large mean (4 places),
+f computed number (6 places), b boolean, t timestamp as text.
 """
 
 from __future__ import annotations
@@ -89,6 +90,8 @@ SPARK_FINISH = {
     "s": lambda c: c.cast("string"),
     "n": lambda c: c.cast("bigint"),
     "m": lambda c: c.cast("double"),
+    "c": lambda c: F.round(c.cast("double"), 2),
+    "r": lambda c: F.round(c.cast("double"), 4),
     "f": lambda c: F.round(c.cast("double"), 6),
     "b": lambda c: c.cast("boolean"),
     "t": lambda c: c.cast("string"),
@@ -98,6 +101,8 @@ SQL_FINISH = {
     "s": "CAST({c} AS VARCHAR)",
     "n": "CAST({c} AS BIGINT)",
     "m": "CAST({c} AS DOUBLE)",
+    "c": "round(CAST({c} AS DOUBLE), 2)",
+    "r": "round(CAST({c} AS DOUBLE), 4)",
     "f": "round(CAST({c} AS DOUBLE), 6)",
     "b": "CAST({c} AS BOOLEAN)",
     "t": "CAST({c} AS VARCHAR)",
