@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 FEATURES = ["revenue", "orders", "aov", "customers", "units_sold"]
 TREES = 100
@@ -130,7 +131,7 @@ def multivariate_anomalies(
     The score is shifted by the exact ``contamination`` percentile of its series, as one cut per series.
     """
     forest = grow_forest(daily, seed, keys, trees, sample)
-    schema = daily.schema.add("_score", "double")
+    schema = StructType([*daily.schema.fields, StructField("_score", DoubleType())])
     if keys:
         # One forest per series: its nodes meet its days in one group, both bounded (trees x nodes, calendar days).
         def score_group(days: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
