@@ -7,7 +7,7 @@ from tillwright.operators import anomaly, isolation, significance
 from tillwright.operators.kpi import daily_metrics, daily_revenue
 from tillwright.plans.staging import stage
 
-BASE = "date:d revenue:m rolling_mean_30:f rolling_std_30:f z_score:f"
+BASE = "date:d revenue:m rolling_mean_30:f rolling_std_30:c z_score:f"
 IMPACT = "revenue_deviation:f revenue_deviation_pct:f"
 DETECTED = f"{BASE} is_anomaly:b severity:s {IMPACT}"
 
@@ -109,7 +109,7 @@ p AS (
   END) AS p_raw FROM angle)"""
 register(
     "compare_anomaly_period",
-    "date:d anomaly_revenue:m baseline_mean:f baseline_std:f t_statistic:f p_value:f is_significant:b", _tested,
+    "date:d anomaly_revenue:m baseline_mean:f baseline_std:c t_statistic:f p_value:f is_significant:b", _tested,
     """SELECT *, CASE WHEN t_statistic IS NOT NULL THEN p_raw END AS p_value,
  coalesce(t_statistic IS NOT NULL AND p_raw < 0.05, false) AS is_significant FROM p""",
     views="daily", helpers=T_TEST,

@@ -18,8 +18,8 @@ def _list_sql(name, members, where="true"):
     order = ", ".join(f"{m} NULLS LAST" for m in members)
     return f"""{name} AS (
  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY revenue DESC, {order}) AS rank,
-   coalesce(revenue / nullif(sum(revenue) OVER (PARTITION BY date), 0) * 100, 0) AS revenue_share_pct
-  FROM (SELECT date, {keys}, cast(sum(revenue) AS DOUBLE) AS revenue, sum(quantity) AS units_sold,
+   coalesce(revenue / nullif(cast(sum(amount) OVER (PARTITION BY date) AS DOUBLE), 0) * 100, 0) AS revenue_share_pct
+  FROM (SELECT date, {keys}, sum(revenue) AS amount, cast(sum(revenue) AS DOUBLE) AS revenue, sum(quantity) AS units_sold,
     count(DISTINCT invoice) AS orders FROM lines WHERE {where} GROUP BY date, {keys})) WHERE rank <= 10)"""
 
 
@@ -47,14 +47,14 @@ for _name, _operator, _view, _columns in (
 
 def _peak_lines(spark, folder):
     tx = clean(spark, folder)
-    return c.intersection(tx, flagged_days(tx), country="NATION_7", hour=9)
+    return c.intersection(tx, flagged_days(tx), hour=9)
 
 
 INTERSECTION = "date:d revenue:m units_sold:n orders:n transaction_rows:n"
 register(
     "intersection", INTERSECTION, _peak_lines,
     """SELECT date, sum(revenue) AS revenue, sum(quantity) AS units_sold, count(DISTINCT invoice) AS orders,
- count(*) AS transaction_rows FROM lines WHERE country = 'NATION_7' AND hour = 9 GROUP BY 1""",
+ count(*) AS transaction_rows FROM lines WHERE hour = 9 GROUP BY 1""",
     views="scored", helpers=LINES,
 )
 LEADERS = LISTS + """,
@@ -67,7 +67,7 @@ together AS (
   LEFT JOIN customers k ON k.date = l.date AND k.rank = 1
  WHERE k.date IS NULL OR k.customer_id = l.customer_id GROUP BY 1),
 causes AS (
- SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY contribution_pct DESC, revenue DESC, dimension, rank) AS cause_rank
+ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(contribution_pct, 9) DESC, round(revenue, 4) DESC, dimension, rank) AS cause_rank
   FROM (SELECT date, 'product' AS dimension, rank, description AS cause, revenue, revenue_share_pct AS contribution_pct, orders, units_sold AS units FROM products
    UNION ALL SELECT date, 'customer', rank, cast(customer_id AS VARCHAR), revenue, revenue_share_pct, orders, units_sold FROM customers
    UNION ALL SELECT date, 'country', rank, country, revenue, revenue_share_pct, orders, units_sold FROM countries

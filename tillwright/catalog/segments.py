@@ -60,7 +60,7 @@ PROFILE_SQL = """SELECT stock_code, sum(revenue) AS revenue, sum(CASE WHEN quant
  count(DISTINCT invoice) AS orders, cast(sum(price) AS DOUBLE) / count(price) AS average_price,
  first(description ORDER BY invoice_ts, invoice, description) FILTER (WHERE description IS NOT NULL) AS description
 FROM clean WHERE stock_code IS NOT NULL GROUP BY 1"""
-PROFILE = "stock_code:s revenue:m units_sold:n orders:n average_price:f description:s"
+PROFILE = "stock_code:s revenue:m units_sold:n orders:n average_price:m description:s"
 register("product_profile", PROFILE, on_clean(segments.product_profile), PROFILE_SQL)
 for _by in ("revenue", "units_sold"):
     register(

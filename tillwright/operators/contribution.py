@@ -123,9 +123,10 @@ def member_label() -> Column:
 def rank_root_causes(contributions: DataFrame, top_n: int = 10, by: Keys = ("date",)) -> DataFrame:
     """The strongest members over all dimensions per day, by share and then revenue.
 
-    Only the already limited lists are ranked: at most four times their limit per day.
+    Only the already limited lists are ranked: at most four times their limit per day. Shares are compared after
+    rounding, so that members with equal revenue tie (and fall back to dimension and rank) whatever the summation order.
     """
-    order = [F.desc("revenue_share_pct"), F.desc("revenue"), "dimension", "rank"]
+    order = [F.round("revenue_share_pct", 9).desc(), F.round("revenue", 4).desc(), "dimension", "rank"]
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return (
         contributions.withColumn("cause_rank", place)
