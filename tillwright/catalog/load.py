@@ -6,7 +6,7 @@ from tillwright.catalog.base import clean, on_clean, on_raw, raw, register
 from tillwright.functions.json_safe import json_safe
 from tillwright.operators import cleaning
 from tillwright.operators.sampling import stratified_day_sample
-from tillwright.plans.staging import shared_path
+from tillwright.plans.staging import shared_path, stage
 from tillwright.sources import star
 from tillwright.sources.transactions import (
     FILE_COLUMNS,
@@ -181,9 +181,9 @@ register(
 
 
 def _sample_report(spark, folder, target=5_000):
-    lines = clean(spark, folder)
+    lines = stage(clean(spark, folder), "clean")
     day = F.to_date("invoice_ts").alias("date")
-    per_day = stratified_day_sample(lines, target, seed=42).groupBy(day).agg(F.count(F.lit(1)).alias("n"))
+    per_day = stratified_day_sample(lines, target, seed=42, distinct=True).groupBy(day).agg(F.count(F.lit(1)).alias("n"))
     return per_day.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("rows"), F.min("n").alias("fewest"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import clock_hour, day_of, money, month_of, percent_of, zero_if_null
-from tillwright.plans.staging import bounded_side
+from tillwright.plans.staging import BROADCAST_ROWS, bounded_side, stage
 
 # Columns identifying a member of each dimension.
 MEMBERS = {
@@ -27,19 +27,23 @@ Keys = tuple[str, ...]
 def lines_on(tx: DataFrame, dates: DataFrame) -> DataFrame:
     """The lines of the given dates with their ``date`` and ``hour``.
 
-    The distinct dates are staged and, within the counted bound, broadcast, so transactions are filtered
-    where they are read. When they are stored by ``month`` (see write_clean), the month takes part in the
-    join and Spark prunes the partitions of all other months.
+    The distinct dates are staged and counted; within the bound they are broadcast, so transactions are filtered
+    where they are read. Their first and last day bound the timestamp for file and row-group skipping, and where
+    transactions are stored by ``month`` (see write_clean) all other months' partitions are left out.
     """
-    days = dates.select("date").distinct()
-    keys = ["date"]
-    stamped = tx
-    if "month" in tx.columns:
-        days = days.withColumn("month", month_of(F.col("date")))
-        keys = ["date", "month"]
-    stamped = tx.withColumns({"date": day_of(F.col("invoice_ts")), "hour": F.hour("invoice_ts")})
-    kept = stamped.join(bounded_side(days, "dates"), keys, "left_semi")
-    return kept.select("date", "hour", *LINE_COLUMNS)
+    days = stage(dates.select("date").distinct(), "dates")
+    first, last, count = days.agg(F.min("date"), F.max("date"), F.count(F.lit(1))).first()
+    moment = tx.schema["invoice_ts"].dataType
+    near = tx.filter(
+        (F.col("invoice_ts") >= F.lit(first).cast("date").cast(moment))
+        & (F.col("invoice_ts") < F.date_add(F.lit(last).cast("date"), 1).cast(moment))
+    )
+    if "month" in tx.columns and count <= BROADCAST_ROWS:
+        months = days.select(month_of(F.col("date"))).distinct().collect()
+        near = near.filter(F.col("month").isin([m[0] for m in months]))
+    stamped = near.withColumns({"date": day_of(F.col("invoice_ts")), "hour": F.hour("invoice_ts")})
+    wanted = F.broadcast(days) if count <= BROADCAST_ROWS else days
+    return stamped.join(wanted, "date", "left_semi").select("date", "hour", *LINE_COLUMNS)
 
 
 def _best_first(members: list[str]) -> list[Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import day_of
@@ -11,14 +11,22 @@ COPY_CHUNK = 1_000
 HASH_BUCKET_BITS = 16
 
 
-def _numbered_lines(tx: DataFrame, seed: int) -> DataFrame:
+def _draws(seed: int, place: list[str]) -> Column:
+    """A 128-bit seeded random order key of a line."""
+    return F.struct(F.xxhash64(F.lit(seed), *place).alias("a"), F.xxhash64(F.lit(seed + 1), *place).alias("b"))
+
+
+def _numbered_lines(tx: DataFrame, seed: int, distinct: bool) -> DataFrame:
     """Lines with their day and a seeded random order key that differs between copies of the same line.
 
-    Copies are counted first (combined before the shuffle) and re-created in chunks, so that a line repeated
-    very often is spread over tasks, and every copy draws its own place in the random order.
+    Lines known to be distinct need no shuffle. Otherwise copies are counted first (combined before the shuffle)
+    and re-created in chunks, so that every copy draws its own place in the random order.
     """
     columns = tx.columns
-    copies = tx.filter(F.col("invoice_ts").isNotNull()).groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+    dated = tx.filter(F.col("invoice_ts").isNotNull())
+    if distinct:
+        return dated.select(*columns, day_of(F.col("invoice_ts")).alias("_date"), _draws(seed, columns).alias("_draw"))
+    copies = dated.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     last_chunk = ((F.col("_copies") - 1) / COPY_CHUNK).cast("bigint")
     chunk_size = F.least(F.col("_copies") - F.col("_chunk") * COPY_CHUNK, F.lit(COPY_CHUNK))
     chunks = copies.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)))
@@ -27,7 +35,7 @@ def _numbered_lines(tx: DataFrame, seed: int) -> DataFrame:
     return lines.select(
         *columns,
         day_of(F.col("invoice_ts")).alias("_date"),
-        F.struct(F.xxhash64(F.lit(seed), *place).alias("a"), F.xxhash64(F.lit(seed + 1), *place).alias("b")).alias("_draw"),
+        _draws(seed, place).alias("_draw"),
     )
 
 
@@ -59,12 +67,14 @@ def _first_by_draw(lines: DataFrame, wanted: int) -> DataFrame:
     return whole.unionByName(part).drop("_bucket")
 
 
-def stratified_day_sample(tx: DataFrame, target_rows: int, seed: int = 42) -> DataFrame:
+def stratified_day_sample(tx: DataFrame, target_rows: int, seed: int = 42, distinct: bool = False) -> DataFrame:
     """``max(1, target // days)`` random lines per day (all of a smaller day), then random others up to the target.
 
     The same seed and data give the same sample whatever the partitioning. The result is ordered by time.
+    Set ``distinct`` for input without repeated lines, such as a stored clean set: the sample is then drawn by
+    narrow scans of it.
     """
-    lines = _numbered_lines(tx, seed)
+    lines = _numbered_lines(tx, seed, distinct)
     days = tx.select(F.count_distinct(day_of(F.col("invoice_ts")))).first()[0]
     if days == 0:
         return tx.limit(0)

@@ -86,20 +86,14 @@ def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Persist a cleaned set. Parquet is partitioned by month, so date-bounded reads prune whole folders.
 
-    Rows are first spread by month and a hash of the line, which gives each month a handful of
-    writers instead of one file per task and month, and keeps a dominant month off a single task.
+    Rows are rebalanced by month first: months come out in few files of even size, and a month holding a large
+    part of all rows is split over as many tasks as its measured size asks for.
     """
     if fmt == "csv":
         df.write.mode(mode).option("header", True).csv(path)
         return
-    spread = F.pmod(F.xxhash64("invoice", "stock_code", "quantity"), F.lit(16))
-    (
-        df.withColumn("month", month_of(F.col("invoice_ts")))
-        .repartition("month", spread)
-        .write.mode(mode)
-        .partitionBy("month")
-        .parquet(path)
-    )
+    dated = df.withColumn("month", month_of(F.col("invoice_ts")))
+    dated.hint("rebalance", F.col("month")).write.mode(mode).partitionBy("month").parquet(path)
 
 
 def load_audit(raw: DataFrame) -> DataFrame:
