@@ -15,6 +15,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tillwright.catalog import ENTRIES  # noqa: E402
+from tillwright.plans.staging import drop_staged  # noqa: E402
 from tillwright.session import build_session  # noqa: E402
 
 HEADLINES = [
@@ -63,6 +64,7 @@ def main() -> None:
         "metric": "sum of median query seconds", "value": round(sum(timings.values()), 3), "unit": "sec",
         "queries": timings, "sf": folder.rsplit("sf", 1)[-1], "cpus": cpus, "runs": runs, "spark": spark.version,
     }))
+    drop_staged(spark)
     spark.stop()
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tillwright.catalog.base import clean, daily, register
+from tillwright.catalog.base import daily, register, stored
 from tillwright.catalog.investigation import LEADERS, LINES
 from tillwright.operators import backtest as b
 from tillwright.operators.anomaly import detect, detect_from_transactions
@@ -46,7 +46,7 @@ def _target(spark, tx):
 
 
 def _shocked(spark, folder):
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     return b.inject_uniform_shock(tx, _target(spark, tx))
 
 
@@ -74,7 +74,7 @@ register(
 
 
 def _shock_metrics(spark, folder):
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     target = _target(spark, tx)
     days = stage(detect_from_transactions(b.inject_uniform_shock(tx, target)), "detected")
     return b.detection_metrics(target, days.filter("is_anomaly"), days)
@@ -89,7 +89,7 @@ marks AS (SELECT date IN (SELECT date FROM target) AS t, coalesce(abs(z_score) >
 
 def _days(spark, folder):
     """Lines and targets of every flagged day."""
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     lines = stage(lines_on(tx, flagged_days(tx)), "lines")
     return lines, stage(b.select_targets(lines), "targets")
 
@@ -182,7 +182,7 @@ register(
 
 def _dimensions(spark, folder):
     """Expected dimension by rule: country for dips, product for spikes."""
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     days = stage(flagged_days(tx), "flagged")
     ranked = rank_root_causes(all_contributions(stage(lines_on(tx, days), "lines")))
     rule = F.when(F.col("z_score") < 0, "country").otherwise("product")

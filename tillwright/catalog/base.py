@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tillwright.operators import kpi
 from tillwright.operators.cleaning import clean_transactions
+from tillwright.plans.staging import stage
 from tillwright.sources.retail_tables import raw_transactions
 
 RAW_SQL = """
@@ -155,6 +156,11 @@ def clean(spark: SparkSession, folder: str) -> DataFrame:
     return clean_transactions(raw_transactions(spark, folder))
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean lines written once, as the load step leaves them, for queries that read transactions more than once."""
+    return stage(clean(spark, folder), "clean")
+
+
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     return kpi.daily_metrics(clean(spark, folder))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tillwright.catalog.base import clean, daily, register
+from tillwright.catalog.base import clean, daily, register, stored
 from tillwright.operators import forecast as f
 from tillwright.operators import treeshap
 from tillwright.operators.kpi import daily_metrics
@@ -75,7 +75,7 @@ register(
 
 
 def _features(spark, folder):
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     return f.feature_rows(daily_metrics(tx), tx)
 
 
@@ -113,7 +113,7 @@ ORDER BY date DESC LIMIT 60""",
 
 
 def _artifact(spark, folder):
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     rows = stage(f.training_rows(f.feature_rows(daily_metrics(tx), tx)), "features")
     return f.evaluation_artifact(tx, rows, f.naive_forecast(f.chrono_split(rows)))
 

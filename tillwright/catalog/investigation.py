@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tillwright.catalog.base import clean, register
+from tillwright.catalog.base import register, stored
 from tillwright.operators import contribution as c
 from tillwright.operators import evidence as e
 from tillwright.plans.investigate import flagged_days, investigate
@@ -37,7 +37,7 @@ for _name, _operator, _view, _columns in (
     ("time_contribution", c.time_contribution, "hours", "hour:n"),
 ):
     def _contribution(spark, folder, operator=_operator):
-        tx = clean(spark, folder)
+        tx = stored(spark, folder)
         return operator(tx, flagged_days(tx))
 
     register(
@@ -46,7 +46,7 @@ for _name, _operator, _view, _columns in (
 
 
 def _peak_lines(spark, folder):
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     return c.intersection(tx, flagged_days(tx), hour=9)
 
 
@@ -109,7 +109,7 @@ ranked AS (
 
 def _found(spark, folder):
     """Flagged days, their lines and their contribution lists."""
-    tx = clean(spark, folder)
+    tx = stored(spark, folder)
     days = stage(flagged_days(tx), "flagged")
     lines = stage(c.lines_on(tx, days), "lines")
     return days, lines, c.all_contributions(lines)
@@ -149,7 +149,7 @@ SUMMARY = (
     "joint_units:n joint_orders:n joint_rows:n"
 )
 register(
-    "investigate", SUMMARY, lambda spark, folder: _flat(investigate(clean(spark, folder)).summary),
+    "investigate", SUMMARY, lambda spark, folder: _flat(investigate(stored(spark, folder)).summary),
     "SELECT * FROM summary", views="scored", helpers=LEADERS,
 )
 
@@ -171,12 +171,12 @@ register(
 )
 RANKED = f"{FINDINGS} strength_score:n evidence_rank:n"
 register(
-    "rank_evidence", RANKED, lambda spark, folder: investigate(clean(spark, folder)).evidence,
+    "rank_evidence", RANKED, lambda spark, folder: investigate(stored(spark, folder)).evidence,
     "SELECT * FROM ranked", views="scored", helpers=LEADERS,
 )
 register(
     "build_report", "date:d anomaly_date:s severity:s stock_code:s customer_id:n country:s hour:n findings:n strongest:s",
-    lambda spark, folder: investigate(clean(spark, folder)).report.select(
+    lambda spark, folder: investigate(stored(spark, folder)).report.select(
         "date", "investigation.anomaly_date", "investigation.severity", "root_causes.product.stock_code",
         "root_causes.customer.customer_id", "root_causes.country.country", "root_causes.time.hour",
         F.size("evidence").alias("findings"), F.get("evidence", F.lit(0))["finding"].alias("strongest"),
@@ -186,15 +186,15 @@ register(
     views="scored", helpers=LEADERS,
 )
 register(
-    "explanation_context", "date:d context:s", lambda spark, folder: investigate(clean(spark, folder)).context
+    "explanation_context", "date:d context:s", lambda spark, folder: investigate(stored(spark, folder)).context
 )
 register(
-    "explanation_prompts", "date:d prompt:s", lambda spark, folder: investigate(clean(spark, folder)).prompts
+    "explanation_prompts", "date:d prompt:s", lambda spark, folder: investigate(stored(spark, folder)).prompts
 )
 register(
-    "report_lines", "date:d line:n depth:n label:s value:s", lambda spark, folder: investigate(clean(spark, folder)).lines
+    "report_lines", "date:d line:n depth:n label:s value:s", lambda spark, folder: investigate(stored(spark, folder)).lines
 )
 register(
     "investigate_significance", "date:d z_score:f t_statistic:f p_value:f is_significant:b",
-    lambda spark, folder: investigate(clean(spark, folder), significance=True).summary,
+    lambda spark, folder: investigate(stored(spark, folder), significance=True).summary,
 )

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tillwright.catalog.base import clean, on_clean, on_raw, raw, register
+from tillwright.catalog.base import clean, on_clean, on_raw, raw, register, stored
 from tillwright.functions.json_safe import json_safe
 from tillwright.operators import cleaning
 from tillwright.operators.sampling import stratified_day_sample
-from tillwright.plans.staging import shared_path, stage
+from tillwright.plans.staging import shared_path
 from tillwright.sources import star
 from tillwright.sources.transactions import (
     FILE_COLUMNS,
@@ -137,7 +137,7 @@ register(
 
 def _star_written(spark, folder):
     path = shared_path(spark, "star")
-    tables = star.star_tables(clean(spark, folder))
+    tables = star.star_tables(stored(spark, folder))
     star.write_star(tables, path=path)
     return star.reconcile({name: spark.read.parquet(f"{path}/{name}") for name in tables})
 
@@ -149,7 +149,7 @@ UNION ALL SELECT 'daily_metrics', count(DISTINCT cast(invoice_ts AS DATE)), NULL
 register("write_star", "table_name:s row_count:n revenue:m", _star_written, RECONCILE_SQL)
 register(
     "reconcile", "table_name:s row_count:n revenue:m",
-    lambda spark, folder: star.reconcile(star.star_tables(clean(spark, folder))), RECONCILE_SQL,
+    lambda spark, folder: star.reconcile(star.star_tables(stored(spark, folder))), RECONCILE_SQL,
 )
 
 
@@ -181,7 +181,7 @@ register(
 
 
 def _sample_report(spark, folder, target=5_000):
-    lines = stage(clean(spark, folder), "clean")
+    lines = stored(spark, folder)
     day = F.to_date("invoice_ts").alias("date")
     per_day = stratified_day_sample(lines, target, seed=42, distinct=True).groupBy(day).agg(F.count(F.lit(1)).alias("n"))
     return per_day.agg(F.count(F.lit(1)).alias("days"), F.sum("n").alias("rows"), F.min("n").alias("fewest"))

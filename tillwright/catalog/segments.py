@@ -1,6 +1,6 @@
 """Customer, product, country, time and RFM queries."""
 
-from tillwright.catalog.base import clean, on_clean, register
+from tillwright.catalog.base import clean, on_clean, register, stored
 from tillwright.operators import kpi, rfm, segments
 
 MEASURES = "revenue:m orders:n customers:n units_sold:n aov:f"
@@ -93,7 +93,7 @@ register(
 
 
 def _extremes(spark, folder):
-    lines = clean(spark, folder)
+    lines = stored(spark, folder)
     monthly = kpi.monthly_metrics(lines)
     parts = [
         segments.best_worst(monthly, "month", "revenue"),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwright.functions.scalar import money, percent_of, true_or_false, zero_if_null
+from tillwright.functions.scalar import money, percent_of, ratio, true_or_false, zero_if_null
 from tillwright.operators.cleaning import bad_debt, cancelled, line_revenue
 from tillwright.plans.ordered import running_total
 from tillwright.plans.staging import stage
@@ -120,7 +120,8 @@ def describe_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, standard deviation, minimum, exact quartiles (linear interpolation) and maximum per column.
 
     The built-in exact percentile keeps every distinct value of a group in one task. Here value frequencies
-    are summed along the global order instead, and each quartile is read off where its rank is passed.
+    are summed along the global order instead, and each quartile is read off where its rank is passed. The input
+    is read once; mean and deviation come from the frequencies too.
     """
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "field", "value")
     known = long.filter(F.col("value").isNotNull())
@@ -128,35 +129,27 @@ def describe_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     mass = running_total(frequency, [F.col("field"), F.col("value")], "_upto", weight=F.col("_n"))
 
     # One row per described column.
-    sizes = frequency.groupBy("field").agg(F.sum("_n").alias("_rows"))
+    rows = F.sum("_n")
+    sizes = frequency.groupBy("field").agg(rows.alias("_rows"), ratio(F.sum(F.col("value") * F.col("_n")), rows).alias("_mean"))
     before = Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     placed = mass.join(F.broadcast(sizes), "field").withColumn("_rank", F.col("_upto") - F.col("_before"))
 
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_rank") > rank, F.col("value")))
-
-    def position(q: float) -> Column:
-        return F.lit(q) * (F.col("_rows") - 1)
-
-    quartiles = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    read = placed.groupBy("field").agg(*[
-        F.struct(
-            at(F.floor(position(q))).alias("low"), at(F.ceil(position(q))).alias("high"),
-            F.max(position(q) - F.floor(position(q))).alias("share"),
-        ).alias(name)
-        for name, q in quartiles.items()
-    ])
-    interpolated = read.select(
-        "field", *[(F.col(f"{n}.low") + (F.col(f"{n}.high") - F.col(f"{n}.low")) * F.col(f"{n}.share")).alias(n)
-                    for n in quartiles]
-    )
-    moments = known.groupBy("field").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    return moments.join(F.broadcast(interpolated), "field").select(
-        "field", "count", "mean", "std", "min", *quartiles, "max"
+    def quantile(q: float) -> Column:
+        position = F.lit(q) * (F.max("_rows") - 1)
+        low, high = (
+            F.min(F.when(F.col("_rank") > edge(F.lit(q) * (F.col("_rows") - 1)), F.col("value"))) for edge in (F.floor, F.ceil)
+        )
+        return low + (high - low) * (position - F.floor(position))
+
+    squares = F.sum(F.col("_n") * F.pow(F.col("value") - F.col("_mean"), F.lit(2)))
+    return placed.groupBy("field").agg(
+        F.max("_rows").alias("count"),
+        F.max("_mean").alias("mean"),
+        F.sqrt(ratio(squares, F.max("_rows") - 1)).alias("std"),
+        F.min("value").alias("min"),
+        *[quantile(q).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
+        F.max("value").alias("max"),
     )
 
 

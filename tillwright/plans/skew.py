@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwright.plans.staging import stage
+
 # A key is hot when it owns more than 1/HOT_FRACTION of all rows, so at most HOT_FRACTION keys can be hot.
 HOT_FRACTION = 1_000
 SALTS = 64
@@ -16,8 +18,10 @@ def join_key_facts(
     """Left-join ``facts`` (one row per key, with its row count) to ``rows``, spreading hot keys over salts.
 
     The hot-key list is broadcast: by the pigeonhole principle it cannot exceed ``hot_fraction`` keys,
-    whatever the data size. Only those keys are replicated on the fact side; all others keep salt 0.
+    whatever the data size. Only those keys are replicated on the fact side; all others keep salt 0. The facts
+    are staged because the total, the hot list and the join all read them.
     """
+    facts = stage(facts, "facts")
     total = facts.select(F.sum(rows_per_key)).scalar()
     hot = facts.filter(F.col(rows_per_key) * F.lit(hot_fraction) > total).select(
         F.col(key).alias("_hot_key"), F.lit(True).alias("_hot")

@@ -6,17 +6,44 @@ and repeated rows are introduced by fixed rules on the keys, so that every clean
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+# Below this size a scan may sit in fewer row groups than there are cores.
+SMALL_SCAN_BYTES = 256 * 1024 * 1024
+
+
+@cache
+def _schema(path: str, session: str) -> StructType:
+    """Footer schema of a table, read once per session instead of once per query."""
+    return SparkSession.active().read.parquet(path).schema
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    path = f"{folder}/{name}.parquet"
+    return spark.read.schema(_schema(path, spark.sparkContext.applicationId)).parquet(path)
+
+
+def _spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Hash a small scan over all cores; larger ones already have a task per split and are left as they are."""
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= SMALL_SCAN_BYTES:
+        return scan
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return _table(spark, folder, name)
 
     c = F.col
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
     lines = (
-        table("lineitem")
+        _spread(table("lineitem").select(*columns), "l_orderkey", "l_partkey")
         .join(table("orders"), c("l_orderkey") == c("o_orderkey"))
         .join(table("part"), c("l_partkey") == c("p_partkey"))
         .join(table("customer"), c("o_custkey") == c("c_custkey"))
