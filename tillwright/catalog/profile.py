@@ -30,6 +30,12 @@ register(
     f"SELECT * EXCLUDE (copies) FROM (SELECT *, count(*) OVER (PARTITION BY {', '.join(_COLUMNS)}) AS copies FROM raw) WHERE copies > 1",
     views="raw",
 )
+register(
+    "duplicate_preview", LINE, on_raw(profile.duplicate_preview),
+    f"""SELECT * EXCLUDE (copies) FROM (SELECT *, count(*) OVER (PARTITION BY {', '.join(_COLUMNS)}) AS copies FROM raw) WHERE copies > 1
+ORDER BY invoice, stock_code, invoice_ts, description NULLS LAST, quantity, price, customer_id NULLS LAST, country LIMIT 20""",
+    views="raw",
+)
 register(
     "cardinality", "rows:n columns:n invoices:n products:n customers:n countries:n", on_raw(profile.cardinality),
     """SELECT count(*) AS rows, 8 AS columns, count(DISTINCT invoice) AS invoices, count(DISTINCT stock_code) AS products,

@@ -49,7 +49,9 @@ def cancelled(invoice: Column) -> Column:
 
 def bad_debt(description: Column) -> Column:
     """The description, ignoring case and surrounding whitespace, is the accounting adjustment text."""
-    return true_or_false(F.lower(F.trim(description, F.lit(WHITESPACE))) == BAD_DEBT_TEXT)
+    text = F.lower(description)
+    # Trimming the full whitespace class is dear, so only the few candidates are trimmed.
+    return true_or_false(text.contains(BAD_DEBT_TEXT) & (F.trim(text, F.lit(WHITESPACE)) == BAD_DEBT_TEXT))
 
 
 def line_revenue(df: DataFrame) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,18 +43,28 @@ def duplicate_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, order: Sequence[str] = ("invoice", "stock_code", "invoice_ts")) -> DataFrame:
-    """Every member of every group of equal rows, ordered.
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """Every member of every group of equal rows, in no particular order.
 
     Groups are counted rather than collected, then re-expanded in chunks spread over tasks, so a row with
-    very many copies is neither gathered nor emitted by a single task.
+    very many copies is neither gathered nor emitted by a single task (a sort would bring its copies together).
     """
     groups = row_counts(df, "_copies").filter(F.col("_copies") > 1)
     last = ((F.col("_copies") - 1) / COPY_CHUNK).cast("bigint")
     chunk = groups.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     size = F.least(F.col("_copies") - F.col("_chunk") * COPY_CHUNK, F.lit(COPY_CHUNK)).cast("int")
     spread = chunk.repartition(F.xxhash64(*df.columns, "_chunk"))
-    return spread.select(*df.columns, F.explode(F.sequence(F.lit(1), size)).alias("_copy")).drop("_copy").orderBy(*order)
+    return spread.select(*df.columns, F.explode(F.sequence(F.lit(1), size)).alias("_copy")).drop("_copy")
+
+
+def duplicate_preview(
+    df: DataFrame, n: int = 20, order: Sequence[str] = ("invoice", "stock_code", "invoice_ts")
+) -> DataFrame:
+    """The first ``n`` duplicated rows in ``order``: groups are ordered and cut before they are expanded."""
+    places = [F.asc_nulls_last(c) for c in [*order, *[c for c in df.columns if c not in order]]]
+    groups = row_counts(df, "_copies").filter(F.col("_copies") > 1).orderBy(*places).limit(n)
+    size = F.least(F.col("_copies"), F.lit(n)).cast("int")
+    return groups.select(*df.columns, F.explode(F.sequence(F.lit(1), size)).alias("_copy")).orderBy(*places).limit(n).drop("_copy")
 
 
 def cardinality(df: DataFrame) -> DataFrame:
@@ -242,13 +251,15 @@ def _inspections() -> dict[str, Column]:
     }
 
 
+INSPECTION_ORDER = ["invoice_ts", "invoice", "stock_code", "quantity", "price", "description", "customer_id", "country"]
+
+
 def inspect_rows(df: DataFrame, view: str, n: int = 20) -> DataFrame:
     """The first ``n`` lines of a named view, in a fixed order."""
     views = _inspections()
     if view not in views:
         raise ValueError(f"Unknown view {view!r}; known: {sorted(views)}")
-    order = ["invoice_ts", "invoice", "stock_code", "quantity", "price", "description", "customer_id", "country"]
-    return df.filter(views[view]).orderBy(*[F.asc_nulls_last(c) for c in order]).limit(n)
+    return df.filter(views[view]).orderBy(*[F.asc_nulls_last(c) for c in INSPECTION_ORDER]).limit(n)
 
 
 def inspection_views() -> list[str]:
@@ -256,6 +267,8 @@ def inspection_views() -> list[str]:
 
 
 def all_inspections(df: DataFrame, n: int = 20) -> DataFrame:
-    """Every named view at once, labelled by ``view``."""
-    parts = [inspect_rows(df, v, n).withColumn("view", F.lit(v)) for v in inspection_views()]
-    return reduce(DataFrame.unionByName, parts)
+    """Every named view at once, labelled by ``view``, in one pass; each task keeps only its first ``n`` per view."""
+    matching = F.array_compact(F.array(*[F.when(test, F.lit(view)) for view, test in _inspections().items()]))
+    place = F.row_number().over(Window.partitionBy("view").orderBy(*[F.asc_nulls_last(c) for c in INSPECTION_ORDER]))
+    labelled = df.withColumn("view", F.explode(matching))
+    return labelled.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")

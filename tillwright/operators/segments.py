@@ -107,7 +107,7 @@ def top_product_profiles(tx: DataFrame, by: str = "revenue", n: int = 10) -> Dat
 def country_profile(tx: DataFrame) -> DataFrame:
     """Measures per country (units of sale lines) and the percentage of revenue, largest first."""
     measures = measures_by(tx, {"country": F.col("country")}, units="sold")
-    total = measures.select(F.sum("revenue")).scalar()
+    total = tx.filter(F.col("country").isNotNull()).select(money(F.sum("revenue"))).scalar()
     return measures.withColumn("revenue_share_pct", percent_of(F.col("revenue"), total)).orderBy(
         F.desc("revenue"), "country"
     )

@@ -15,13 +15,29 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "tillwright", master: str | None = None, **conf: str) -> SparkSession:
-    """Create (or reuse) a session; ``conf`` keys use ``__`` for dots and override the defaults."""
+# Shuffled bytes per partition to aim for, so that a partition sorts and aggregates in executor memory.
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def partitions_for(input_bytes: int, at_least: int = 200) -> int:
+    """Shuffle partitions for an input size. Too many is harmless: adaptive execution merges small ones."""
+    return max(at_least, -(-input_bytes // PARTITION_BYTES))
+
+
+def build_session(
+    app_name: str = "tillwright", master: str | None = None, input_bytes: int | None = None, **conf: str
+) -> SparkSession:
+    """Create (or reuse) a session; ``conf`` keys use ``__`` for dots and override the defaults.
+
+    ``input_bytes`` (the size of the transactions to be read) sets the number of shuffle partitions.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
+    if input_bytes is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(partitions_for(input_bytes)))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
