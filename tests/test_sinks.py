@@ -31,6 +31,18 @@ def test_star_and_reconciliation(spark, four_lines, tmp_path):
         star.write_star(tables)
 
 
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_customer_scores_are_written(spark, four_lines, tmp_path, fmt):
+    from tillwright.operators.rfm import rfm_table
+    from tillwright.sources.transactions import write_clean, write_table
+
+    write_table(rfm_table(four_lines), str(tmp_path / "deep" / "rfm"), fmt)
+    back = spark.read.format(fmt).option("header", True).load(str(tmp_path / "deep" / "rfm"))
+    assert back.count() == 2 and "segment" in back.columns
+    write_clean(four_lines, str(tmp_path / "clean"), fmt)
+    assert spark.read.format(fmt).option("header", True).load(str(tmp_path / "clean")).count() == 4
+
+
 def test_audit_counts_each_stage(make_raw):
     row = ("1", "A", "a", 1, "2011-01-01 09:00", 2.0, 1, "UK")
     audit = load_audit(make_raw([row, row, ("C2", *row[1:])])).first()

@@ -58,6 +58,21 @@ register(
 )
 
 
+def _flag_counts(spark, folder):
+    found = isolation.multivariate_anomalies(stage(daily(spark, folder), "daily"))
+    flagged = F.col("is_multivariate_anomaly")
+    return found.agg(
+        F.count(F.lit(1)).alias("days"), F.count_if(flagged).alias("flagged"),
+        F.every(flagged == (F.col("isolation_score") < 0)).alias("flag_is_sign"),
+    )
+
+
+register(
+    "multivariate_flag_counts", "days:n flagged:n flag_is_sign:b", _flag_counts,
+    "SELECT count(*) AS days, floor(0.02 * (count(*) - 1)) + 1 AS flagged, true AS flag_is_sign FROM daily", views="daily",
+)
+
+
 def _combined(spark, folder):
     days = stage(daily(spark, folder), "daily")
     return anomaly.combine(anomaly.detect(days), isolation.multivariate_anomalies(days))

@@ -155,6 +155,37 @@ def _attributed(spark, folder):
 
 
 register("tree_shap", "date:d base_value:f " + " ".join(f"{c}:f" for c in f.FEATURES), _attributed)
+def _model_checks(spark, folder):
+    """Properties a fitted model must have, one row: sizes, a lower error than repeating last week, additive attributions."""
+    rows = stage(_features(spark, folder), "features")
+    split = stage(f.chrono_split(f.training_rows(rows)), "split")
+    model = f.train(split.filter("is_train"), ROUNDS)
+    scored = f.predict(model, split)
+    own, naive = (f.evaluate(p).select("train_rows", "test_rows", "mae") for p in (scored, f.naive_forecast(split)))
+    explained = treeshap.tree_shap(model, treeshap.recent_rows(split)).join(scored.select("date", "prediction"), "date")
+    total = F.col("base_value")
+    for feature in f.FEATURES:
+        total = total + F.col(f"{feature}_shap")
+    explained = explained.withColumnsRenamed({c: f"{c}_shap" for c in f.FEATURES}).select(
+        F.lit("explained").alias("part"), (F.abs(total - F.col("prediction")) < 1e-3).alias("good")
+    )
+    sums = explained.agg(F.count(F.lit(1)).alias("explained_rows"), F.every("good").alias("additive"))
+    dates = [f.forecast(model, rows, mode).select(F.col("based_on_date").alias(f"{mode}_date")) for mode in ("reference", "future")]
+    merged = own.withColumnRenamed("mae", "own_mae").unionByName(naive.select(F.col("mae").alias("naive_mae")), allowMissingColumns=True)
+    for part in (sums, *dates):
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    row = merged.agg(*[(F.every(c) if c == "additive" else F.max(c)).alias(c) for c in merged.columns])
+    return row.withColumn("beats_naive", F.col("own_mae") < F.col("naive_mae"))
+
+
+register(
+    "model_checks",
+    "train_rows:n test_rows:n beats_naive:b explained_rows:n additive:b reference_date:d future_date:d", _model_checks,
+    """SELECT count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows, true AS beats_naive,
+ least(100, count(*) FILTER (WHERE NOT is_train)) AS explained_rows, true AS additive, max(date) AS reference_date,
+ (SELECT max(date) FROM filled) AS future_date FROM split""",
+    views="daily", helpers=DENSE,
+)
 register(
     "shap_importance_of_model", "feature:s importance:f",
     lambda spark, folder: treeshap.shap_importance(_attributed(spark, folder)),

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tillwright.catalog.anomaly import T_TEST
 from tillwright.catalog.base import register, stored
 from tillwright.operators import contribution as c
 from tillwright.operators import evidence as e
@@ -197,4 +198,56 @@ register(
 register(
     "investigate_significance", "date:d z_score:f t_statistic:f p_value:f is_significant:b",
     lambda spark, folder: investigate(stored(spark, folder), significance=True).summary,
+    """SELECT s.date, s.z_score, p.t_statistic, CASE WHEN p.t_statistic IS NOT NULL THEN p_raw END AS p_value,
+ coalesce(p.t_statistic IS NOT NULL AND p_raw < 0.05, false) AS is_significant FROM scored s JOIN p USING (date) WHERE s.is_anomaly""",
+    views="scored", helpers=T_TEST,
+)
+
+
+def _context_fields(spark, folder):
+    """Fields read back from the JSON inside the prompts."""
+    prompts = investigate(stored(spark, folder)).prompts
+    text = F.substring_index("prompt", "Evidence:\n", -1)
+
+    def at(path):
+        return F.get_json_object(text, f"$.{path}")
+
+    return prompts.select(
+        "date", F.col("prompt").startswith(e.INSTRUCTIONS).alias("instructed"),
+        at("investigation.anomaly_date").alias("anomaly_date"), at("investigation.severity").alias("severity"),
+        at("investigation.z_score").cast("double").alias("z_score"),
+        at("root_causes.product.stock_code").alias("stock_code"), at("root_causes.customer.customer_id").alias("customer_id"),
+        at("root_causes.country.country").alias("country"), at("root_causes.time.hour").alias("hour"),
+        at("intersection.transaction_rows").alias("joint_rows"), at("evidence[0].finding").alias("strongest"),
+    )
+
+
+register(
+    "explanation_prompt_fields",
+    "date:d instructed:b anomaly_date:s severity:s z_score:f stock_code:s customer_id:n country:s hour:n joint_rows:n strongest:s",
+    _context_fields,
+    """SELECT s.*, true AS instructed, strongest FROM summary s
+ JOIN (SELECT date, arg_min(finding, evidence_rank) AS strongest FROM ranked GROUP BY 1) r USING (date)""",
+    views="scored", helpers=LEADERS,
+)
+
+
+def _line_counts(spark, folder):
+    finding = F.when(F.col("label") == "Finding", F.col("value"))
+    return investigate(stored(spark, folder)).lines.groupBy("date").agg(
+        F.count(F.lit(1)).alias("lines"), F.count(finding).alias("findings"), F.min(finding).alias("first_finding"),
+        F.count_if(F.col("value").isNull()).alias("headings"),
+    )
+
+
+register(
+    "report_line_counts", "date:d lines:n findings:n first_finding:s headings:n", _line_counts,
+    """SELECT s.date, 8 + 1 + CASE WHEN product_revenue IS NULL THEN 1 ELSE 5 END + CASE WHEN customer_id IS NULL THEN 1 ELSE 4 END
+  + CASE WHEN country_revenue IS NULL THEN 1 ELSE 4 END + CASE WHEN hour IS NULL THEN 1 ELSE 4 END
+  + CASE WHEN joint_rows IS NULL THEN 1 ELSE 5 END + 1 + 9 * findings AS lines, findings, first_finding,
+ 3 + CASE WHEN product_revenue IS NULL THEN 0 ELSE 1 END + CASE WHEN customer_id IS NULL THEN 0 ELSE 1 END
+  + CASE WHEN country_revenue IS NULL THEN 0 ELSE 1 END + CASE WHEN hour IS NULL THEN 0 ELSE 1 END
+  + CASE WHEN joint_rows IS NULL THEN 0 ELSE 1 END + findings AS headings
+FROM summary s JOIN (SELECT date, count(*) AS findings, min(finding) AS first_finding FROM ranked GROUP BY 1) r USING (date)""",
+    views="scored", helpers=LEADERS,
 )

@@ -29,6 +29,7 @@ FEATURES = [
     "orders", "customers", "aov", "repeat_customer_rate",
 ]
 MINIMUM_ROWS = 20
+ROWS_PER_TRAINING_TASK = 20_000
 
 
 def densify(daily: DataFrame, keys: Keys = ()) -> DataFrame:
@@ -128,16 +129,19 @@ def chrono_split(rows: DataFrame, train_tenths: int = 8, keys: Keys = ()) -> Dat
 def train(rows: DataFrame, rounds: int = 300, seed: int = 42) -> PipelineModel:
     """Fit boosted regression trees: depth 6, rate 0.05, 0.8 of rows per tree and of features per split.
 
-    Boosting keeps a growing lineage of residuals, which is cut every ten rounds in the checkpoint folder.
+    Boosting keeps a growing lineage of residuals, which is cut every ten rounds in the checkpoint folder. Every
+    round runs several small jobs, so rows are packed into few partitions, ordered by date: this also makes the
+    sampled rows, and with them the model, independent of how the input was partitioned.
     """
     spark = rows.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_root(spark))
+    packed = rows.repartitionByRange(max(1, rows.count() // ROWS_PER_TRAINING_TASK), "date").sortWithinPartitions("date")
     trees = GBTRegressor(
         featuresCol="features", labelCol=TARGET, predictionCol="prediction", maxIter=rounds, maxDepth=6, stepSize=0.05,
         subsamplingRate=0.8, featureSubsetStrategy="0.8", lossType="squared", checkpointInterval=10, seed=seed,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(rows)
+    return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(packed)
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:

@@ -62,7 +62,9 @@ def investigate(
     their lines. That slice is staged with only the columns the four dimensions need; everything after the
     contribution lists handles a few rows per day.
     """
-    daily = stage(daily_metrics(tx), "daily")
+    daily = daily_metrics(tx)
+    if significance:  # the tests read the series again
+        daily = stage(daily, "daily")
     anomalies = detect(daily, window, z_threshold).filter("is_anomaly")
     if dates is not None:
         anomalies = anomalies.join(dates.select("date").distinct(), "date", "left_semi")

@@ -90,12 +90,17 @@ def write_clean(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     part of all rows is split over as many tasks as its measured size asks for.
     """
     if fmt == "csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        write_table(df, path, "csv", mode)
         return
     dated = df.withColumn("month", month_of(F.col("invoice_ts")))
     dated.hint("rebalance", F.col("month")).write.mode(mode).partitionBy("month").parquet(path)
 
 
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Persist a derived table such as customer scores, as parquet or CSV with a header."""
+    df.write.mode(mode).format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+
+
 def load_audit(raw: DataFrame) -> DataFrame:
     """One row: rows read, rows left after exact de-duplication, rows kept by cleaning, and their revenue.
 
