@@ -102,6 +102,16 @@ def test_stratified_sample_sizes(uneven, target):
     assert sum(per_day.values()) == min(460, max(target, 31))
 
 
+@pytest.mark.parametrize("target", [40, 100, 460])
+def test_large_quota_path_draws_the_same_sample(uneven, monkeypatch, target):
+    def drawn():
+        return sorted(map(str, stratified_day_sample(uneven, target).collect()))
+
+    ranked = drawn()
+    monkeypatch.setattr("tillwright.operators.sampling.GROUP_LIMIT", 0)
+    assert drawn() == ranked
+
+
 def test_sample_of_distinct_lines(uneven):
     assert stratified_day_sample(uneven.dropDuplicates(), 80, distinct=True).count() == 80
 

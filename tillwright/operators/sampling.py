@@ -9,6 +9,8 @@ from tillwright.functions.scalar import day_of
 
 COPY_CHUNK = 1_000
 HASH_BUCKET_BITS = 16
+# Largest rank limit that Spark applies inside tasks by default.
+GROUP_LIMIT = 1_000
 
 
 def _draws(seed: int, place: list[str]) -> Column:
@@ -39,32 +41,33 @@ def _numbered_lines(tx: DataFrame, seed: int, distinct: bool) -> DataFrame:
     )
 
 
-def _first_by_draw(lines: DataFrame, wanted: int) -> DataFrame:
-    """Exactly the ``wanted`` rows with the smallest draw, without sorting all rows in one place.
+def _first_by_draw(lines: DataFrame, wanted: int, group: str) -> DataFrame:
+    """Exactly the ``wanted`` rows of each group with the smallest draw, without ranking whole groups.
 
-    A histogram over the leading bits of the draw (a fixed number of buckets) finds the bucket in which the
-    wanted count is reached. Earlier buckets are taken whole; only the boundary bucket is ranked.
+    A histogram over the leading bits of the draw (a fixed number of buckets per group) finds the bucket in which a
+    group reaches the wanted count. Earlier buckets are taken whole; only the boundary bucket, a tiny fraction of a
+    large group, is ranked. ``group`` has at most one value per calendar day, so the boundaries can be broadcast.
     """
-    bucket = F.shiftright(F.col("_draw.a"), 64 - HASH_BUCKET_BITS)
-    bucketed = lines.withColumn("_bucket", bucket)
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = lines.withColumn("_bucket", F.shiftright(F.col("_draw.a"), 64 - HASH_BUCKET_BITS))
+    before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     boundary = (
-        bucketed.groupBy("_bucket")
+        bucketed.groupBy(group, "_bucket")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .filter((F.col("_before") < wanted) & (F.col("_before") + F.col("_rows") >= wanted))
-        .select("_bucket", "_before")
-        .first()
+        .filter(F.col("_before") < wanted)
+        .groupBy(group)
+        .agg(F.max("_bucket").alias("_edge"), F.max("_before").alias("_before"))
     )
-    if boundary is None:  # fewer rows than wanted: all of them
-        return lines
-    whole = bucketed.filter(F.col("_bucket") < boundary["_bucket"])
+    near = bucketed.join(F.broadcast(boundary), group).filter(F.col("_bucket") <= F.col("_edge"))
+    whole = near.filter(F.col("_bucket") < F.col("_edge"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("_draw"))
     part = (
-        bucketed.filter(F.col("_bucket") == boundary["_bucket"])
-        .orderBy("_draw")
-        .limit(wanted - boundary["_before"])
+        near.filter(F.col("_bucket") == F.col("_edge"))
+        .withColumn("_place", place)
+        .filter(F.col("_place") <= F.lit(wanted) - F.col("_before"))
+        .drop("_place")
     )
-    return whole.unionByName(part).drop("_bucket")
+    return whole.unionByName(part).select(*lines.columns)
 
 
 def stratified_day_sample(tx: DataFrame, target_rows: int, seed: int = 42, distinct: bool = False) -> DataFrame:
@@ -79,9 +82,12 @@ def stratified_day_sample(tx: DataFrame, target_rows: int, seed: int = 42, disti
     if days == 0:
         return tx.limit(0)
     quota = max(1, target_rows // days)
-    # A constant rank limit lets Spark cut each day to the quota inside every task before the shuffle.
-    rank = F.row_number().over(Window.partitionBy("_date").orderBy("_draw"))
-    chosen = lines.withColumn("_rank", rank).filter(F.col("_rank") <= quota).drop("_rank")
+    if quota <= GROUP_LIMIT:
+        # A constant rank limit lets Spark cut each day to the quota inside every task before the shuffle.
+        rank = F.row_number().over(Window.partitionBy("_date").orderBy("_draw"))
+        chosen = lines.withColumn("_rank", rank).filter(F.col("_rank") <= quota).drop("_rank")
+    else:
+        chosen = _first_by_draw(lines, quota, "_date")
 
     per_day = chosen.groupBy("_date").agg(F.count(F.lit(1)).alias("_taken"), F.max("_draw").alias("_last"))
     missing = target_rows - per_day.agg(F.coalesce(F.sum("_taken"), F.lit(0))).first()[0]
@@ -89,5 +95,6 @@ def stratified_day_sample(tx: DataFrame, target_rows: int, seed: int = 42, disti
         # One row per calendar day; everything after a day's last chosen draw was not chosen.
         cut = F.broadcast(per_day.select("_date", "_last"))
         rest = lines.join(cut, "_date").filter(F.col("_draw") > F.col("_last")).select(*lines.columns)
-        chosen = chosen.unionByName(_first_by_draw(rest, missing))
+        one = rest.withColumn("_all", F.lit(0))
+        chosen = chosen.unionByName(_first_by_draw(one, missing, "_all").drop("_all"))
     return chosen.select(*tx.columns).orderBy("invoice_ts", "invoice", "stock_code")
