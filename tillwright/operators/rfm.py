@@ -60,25 +60,32 @@ def rfm_combined(scores: DataFrame) -> DataFrame:
     })
 
 
-def segment(r: Column, f: Column, m: Column) -> Column:
-    """Segment of a score triple; the first matching rule wins."""
-    rules = [
-        ("Champions", (r >= 4) & (f >= 4) & (m >= 4)),
-        ("Loyal Customers", (r >= 3) & (f >= 4)),
-        ("Big Spenders", (r >= 3) & (m >= 4)),
-        ("New Customers", (r >= 4) & (f <= 2)),
-        ("At Risk", (r <= 2) & (f >= 3) & (m >= 3)),
-        ("Hibernating", (r <= 2) & (f <= 2)),
-        ("Potential Loyalists", (r >= 3) & (f >= 3)),
-    ]
-    chosen = F.when(rules[0][1], rules[0][0])
-    for label, condition in rules[1:]:
-        chosen = chosen.when(condition, label)
-    return chosen.otherwise("Others")
+# Segments in order of precedence, with the scores (lowest, highest) each asks for.
+SEGMENTS = {
+    "Champions": {"r": (4, 5), "f": (4, 5), "m": (4, 5)},
+    "Loyal Customers": {"r": (3, 5), "f": (4, 5)},
+    "Big Spenders": {"r": (3, 5), "m": (4, 5)},
+    "New Customers": {"r": (4, 5), "f": (1, 2)},
+    "At Risk": {"r": (1, 2), "f": (3, 5), "m": (3, 5)},
+    "Hibernating": {"r": (1, 2), "f": (1, 2)},
+    "Potential Loyalists": {"r": (3, 5), "f": (3, 5)},
+}
+OTHER_SEGMENT = "Others"
+
+
+def segment() -> Column:
+    """Segment of the row's scores: the first entry of SEGMENTS whose ranges hold."""
+    matches = []
+    for label, ranges in SEGMENTS.items():
+        holds = F.lit(True)
+        for score, (lowest, highest) in ranges.items():
+            holds = holds & F.col(f"{score}_score").between(lowest, highest)
+        matches.append(F.when(holds, F.lit(label)))
+    return F.coalesce(*matches, F.lit(OTHER_SEGMENT))
 
 
 def rfm_segment(scores: DataFrame) -> DataFrame:
-    return scores.withColumn("segment", segment(F.col("r_score"), F.col("f_score"), F.col("m_score")))
+    return scores.withColumn("segment", segment())
 
 
 def rfm_table(tx: DataFrame) -> DataFrame:

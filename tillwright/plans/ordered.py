@@ -10,6 +10,8 @@ from tillwright.plans.staging import stage
 # Up to this many rows a single ordered window is cheaper than a range-partitioned pass.
 SINGLE_WINDOW_ROWS = 1_000_000
 SLICE_ROWS = 500_000
+# Slices are also the rows of the offset table; beyond this many they grow instead.
+MAX_SLICES = 20_000
 
 
 def running_total(
@@ -33,7 +35,7 @@ def running_total(
         frame = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn(name, F.sum(weight).over(frame))
 
-    slices = max(2, -(-rows // min(SLICE_ROWS, max(1, single_window_rows))))
+    slices = min(MAX_SLICES, max(2, -(-rows // min(SLICE_ROWS, max(1, single_window_rows)))))
     sliced = stage(
         df.withColumn("_weight", weight)
         .repartitionByRange(slices, *order)
@@ -50,7 +52,7 @@ def running_total(
     inside = (
         Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # One offset row per slice, and the slice count is fixed above: bounded by construction.
+    # One offset row per slice, at most MAX_SLICES.
     return (
         sliced.join(F.broadcast(offsets), "_slice")
         .withColumn(name, F.sum("_weight").over(inside) + F.col("_offset"))
