@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import packing, token_shards
+from tillwright.llm import packing, simhash_trie, token_shards
 from tillwright.llm.common import table
 from tillwright.plans.staging import shared_path
 
@@ -39,3 +39,9 @@ def op2_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op4_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
+
+
+@query
+def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash_trie.near_duplicates(table(spark, folder, "documents"))
