@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import packing, simhash_trie, token_shards
+from tillwright.llm import packing, simhash_trie, sketch, token_shards
 from tillwright.llm.common import table
 from tillwright.plans.staging import shared_path
 
@@ -45,3 +45,9 @@ def op4_pack_documents(spark: SparkSession, folder: str) -> DataFrame:
 def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash_trie.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op5_invertible_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return sketch.fingerprint_edits(table(spark, folder, "documents"))
