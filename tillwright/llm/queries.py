@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import packing, simhash_trie, sketch, token_shards
+from tillwright.llm import decontaminate, packing, simhash_trie, sketch, token_shards
 from tillwright.llm.common import table
 from tillwright.plans.staging import shared_path
 
@@ -51,3 +51,9 @@ def op9_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
 def op5_invertible_sketches(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return sketch.fingerprint_edits(table(spark, folder, "documents"))
+
+
+@query
+def op1_greedy_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that contain a benchmark item, in one piece or reordered."""
+    return decontaminate.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
