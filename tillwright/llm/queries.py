@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import decontaminate, packing, simhash_trie, sketch, token_shards
+from tillwright.llm import decontaminate, packing, simhash_trie, sketch, token_shards, wrapper
 from tillwright.llm.common import table
 from tillwright.plans.staging import shared_path
 
@@ -57,3 +57,9 @@ def op5_invertible_sketches(spark: SparkSession, folder: str) -> DataFrame:
 def op1_greedy_tiling(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that contain a benchmark item, in one piece or reordered."""
     return decontaminate.contaminated_pairs(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op6_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return wrapper.extract_main_text(table(spark, folder, "pages"))
