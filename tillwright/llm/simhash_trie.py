@@ -33,6 +33,8 @@ SEED = 42
 BUDGET = 3
 # Distinct fingerprints per subtree to aim for, and how many a task may hold of one subtree before it is cut further.
 SUBTREE = 4_096
+# The trie is dealt out at this depth at least, so that small inputs spread over tasks in the same way as larger ones.
+LEAST_DEPTH = 8
 CROWDED = 4 * SUBTREE
 # Shingles whose bits are counted at once: 64 bytes each.
 AT_ONCE = 1 << 15
@@ -151,14 +153,16 @@ def _join_subtrees(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(ends[:, 0].copy(), pa.int64()), "b": pa.array(ends[:, 1].copy(), pa.int64())})
 
 
-def trie_links(nodes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE, crowded: int = CROWDED) -> DataFrame:
+def trie_links(
+    nodes: DataFrame, budget: int = BUDGET, subtree: int = SUBTREE, crowded: int = CROWDED, least_depth: int = LEAST_DEPTH
+) -> DataFrame:
     """Links between distinct fingerprints (column ``bits``): enough of them to connect every component.
 
     The prefix length follows the number of fingerprints. A subtree that holds many times its share is cut into
     pieces, on both sides of the join, so that no task gets more than a bounded part of it.
     """
     rows = nodes.count()
-    depth = min(24, max(0, math.ceil(math.log2(max(1, rows / subtree)))))
+    depth = min(24, max(least_depth, math.ceil(math.log2(max(1, rows / subtree)))))
     masks = [sum(1 << bit for bit in bits) for k in range(min(budget, depth) + 1)
              for bits in combinations(range(depth), k)]
     prefix = F.shiftrightunsigned("bits", 64 - depth) if depth else F.lit(0).cast("bigint")
