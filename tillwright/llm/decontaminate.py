@@ -17,12 +17,13 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -194,16 +195,17 @@ def drop_contaminated(
 ) -> DataFrame:
     """The rows of ``docs``, all columns, whose text covers no item. Rows are judged where they lie."""
     for items in benchmark_blocks(benchmark, block_words):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
-
-        def is_clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            block = Benchmark(shared.value, min_match)
-            for texts in batches:
-                yield pd.Series(
-                    [all(matched / total < coverage for _, _, matched, total in block.coverage(t)) for t in texts],
-                    dtype=bool,
-                )
-
-        clean = F.pandas_udf(is_clean, BooleanType(), F.PandasUDFType.SCALAR_ITER)
-        docs = docs.filter(clean(whole_text()))
+        docs = docs.filter(_is_clean(docs.sparkSession.sparkContext.broadcast(items), min_match, coverage)(whole_text()))
     return docs
+
+
+def _is_clean(items: Broadcast, min_match: int, coverage: float) -> Callable[[Column], Column]:
+    """Whether a text covers no item of a block."""
+
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        block = Benchmark(items.value, min_match)
+        for texts in batches:
+            clean = [all(matched / total < coverage for _, _, matched, total in block.coverage(t)) for t in texts]
+            yield pd.Series(clean, dtype=bool)
+
+    return F.pandas_udf(judge, BooleanType())

@@ -203,7 +203,7 @@ def grade_columns(docs: DataFrame, model: OrdinalModel, text: Column) -> Column:
 
     names = ("expected_grade", "p_at_least_1", "p_at_least_2")
     schema = StructType([StructField(name, DoubleType()) for name in names])
-    return F.pandas_udf(score, schema, F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(score, schema)(text)
 
 
 def grade_documents(docs: DataFrame, model: OrdinalModel, select: float = SELECT) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import decontaminate, packing, simhash_trie, sketch, token_shards, wrapper
+from tillwright.llm import decontaminate, language, packing, quality, simhash_trie, sketch, token_shards, wrapper
 from tillwright.llm.common import table
 from tillwright.plans.staging import shared_path
 
@@ -63,3 +63,17 @@ def op1_greedy_tiling(spark: SparkSession, folder: str) -> DataFrame:
 def op6_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
     return wrapper.extract_main_text(table(spark, folder, "pages"))
+
+
+@query
+def op8_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected grade, tail probabilities and selection of every document."""
+    docs = table(spark, folder, "documents")
+    return quality.grade_documents(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query
+def op10_code_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from the documents that are not held out."""
+    docs = table(spark, folder, "documents")
+    return language.predict_language(docs, language.train(docs))
