@@ -29,9 +29,11 @@ ROWS = 3
 # Cells per row of the fingerprint; it recovers about 35 differing digests.
 BASE_CELLS = 16
 # Peeling rounds over all rows of a sketch before it counts as failed.
-ROUNDS = 4
+ROUNDS = 2
 # Cells per row for each digest of the pair at the retries.
-FIRST_RETRY, SECOND_RETRY = 1, 3
+FIRST_RETRY, SECOND_RETRY = 2, 8
+# Digests that one task sketches, so that its cells fit in memory; beyond MOST_TASKS they spill.
+TASK_DIGESTS, MOST_TASKS = 150_000, 20_000
 # Documents per slice of the id order, and the most slices (their bounds are literals of the plan).
 SLICE_DOCS, MAX_SLICES = 2_000, 4_096
 
@@ -171,13 +173,17 @@ def _as_text(cells: Column) -> Column:
     return F.array_join(parts, " ")
 
 
-def fingerprints(rows: DataFrame, versions: list[str]) -> DataFrame:
+def _tasks(digests: int) -> int:
+    return min(MOST_TASKS, 1 + digests // TASK_DIGESTS)
+
+
+def fingerprints(rows: DataFrame, versions: list[str], digests: int) -> DataFrame:
     """(rid, one text per version) from rows (rid, one array of digests per version); rows move once, by rid."""
-    digests = F.array(*[
+    each = F.array(*[
         F.struct(F.lit(at).alias("version"), F.col(name).alias("digests")) for at, name in enumerate(versions)
     ])
     keyed = (
-        rows.select("rid", *versions).repartition("rid").select("rid", F.explode(digests).alias("v"))
+        rows.select("rid", *versions).repartition(_tasks(digests), "rid").select("rid", F.explode(each).alias("v"))
         .select("rid", "v.version", F.explode("v.digests").alias("key"), F.lit(1).cast("bigint").alias("sign"),
                 F.lit(BASE_CELLS).alias("cells"))
     )
@@ -210,14 +216,15 @@ def _attempt(pairs: DataFrame, cells: Column) -> DataFrame:
     )
 
 
-def likeness(pairs: DataFrame) -> DataFrame:
-    """(pid, likeness) of rows (pid, plus, minus): a unique number and two arrays of distinct digests.
+def likeness(pairs: DataFrame, digests: int) -> DataFrame:
+    """(pid, likeness) of rows (pid, plus, minus): a unique number and two arrays of distinct digests, in all
+    ``digests`` of them.
 
     Pairs move once, by pid; every further step finds its pairs in place. Each attempt takes the pairs that the one
     before left open, and only those keep their digests when the result is stored for the last one.
     """
     size = F.size("plus") + F.size("minus")
-    start = pairs.repartition("pid").withColumn("differ", F.lit(None).cast("bigint"))
+    start = pairs.repartition(_tasks(digests), "pid").withColumn("differ", F.lit(None).cast("bigint"))
     first = _attempt(start, F.lit(BASE_CELLS))
     second = _attempt(first, BASE_CELLS + FIRST_RETRY * size)
     is_open = F.col("differ").isNull()
@@ -250,12 +257,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.struct((F.col("rid") * 2).alias("pid"), F.col("own").alias("plus"), F.col("edited").alias("minus")),
         F.struct((F.col("rid") * 2 + 1).alias("pid"), F.col("own").alias("plus"), F.col("next").alias("minus")),
     )
-    alike = likeness(rows.select(F.explode(pair).alias("pair")).select("pair.*"))
+    held = rows.agg(*[F.coalesce(F.sum(F.size(name)), F.lit(0)) for name in ("own", "edited", "next")]).first()
+    alike = likeness(rows.select(F.explode(pair).alias("pair")).select("pair.*"), 2 * held[0] + held[1] + held[2])
     near = alike.groupBy(F.floor(F.col("pid") / 2).alias("rid")).agg(
         F.max(F.when(F.col("pid") % 2 == 0, F.col("likeness"))).alias("near_edited"),
         F.max(F.when(F.col("pid") % 2 == 1, F.col("likeness"))).alias("near_next"),
     )
-    texts = fingerprints(rows, ["own", "edited"]).select(
+    texts = fingerprints(rows, ["own", "edited"], held[0] + held[1]).select(
         "rid", F.col("own").alias("fingerprint"), F.col("edited").alias("edited_fingerprint")
     )
     return (
