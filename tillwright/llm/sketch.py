@@ -207,36 +207,33 @@ def _differences(pairs: DataFrame, cells: Column) -> DataFrame:
     return peeled.select("pid", F.when(F.col("left") == 0, F.col("recovered")).otherwise(-1).alias("outcome"))
 
 
-def _attempt(pairs: DataFrame, cells: Column) -> DataFrame:
-    """Fill ``differ`` of the pairs that lack it. A pair without an outcome has nothing left after subtraction."""
-    found = _differences(pairs.filter("differ is null"), cells)
-    outcome = F.coalesce(F.col("outcome"), F.lit(0))
-    return pairs.join(found, "pid", "left").select(
-        "pid", "plus", "minus", F.coalesce("differ", F.when(outcome >= 0, outcome)).alias("differ")
-    )
-
-
 def likeness(pairs: DataFrame, digests: int) -> DataFrame:
     """(pid, likeness) of rows (pid, plus, minus): a unique number and two arrays of distinct digests, in all
     ``digests`` of them.
 
-    Pairs move once, by pid; every further step finds its pairs in place. Each attempt takes the pairs that the one
-    before left open, and only those keep their digests when the result is stored for the last one.
+    An attempt moves its pairs once, by pid, and finds its cells in place. Its outcome is stored with the digests of
+    the pairs that stay open, which the next attempt takes; those left at the end are compared digest by digest.
     """
     size = F.size("plus") + F.size("minus")
-    start = pairs.repartition(_tasks(digests), "pid").withColumn("differ", F.lit(None).cast("bigint"))
-    first = _attempt(start, F.lit(BASE_CELLS))
-    second = _attempt(first, BASE_CELLS + FIRST_RETRY * size)
-    is_open = F.col("differ").isNull()
-    tried = stage_compressed(
-        second.select("pid", "differ", size.alias("size"), F.when(is_open, F.col("plus")).alias("plus"),
-                      F.when(is_open, F.col("minus")).alias("minus")),
-        "peeled",
-    )
-    last = _attempt(tried.filter(is_open).select("pid", "plus", "minus", "differ"), BASE_CELLS + SECOND_RETRY * size)
     by_digest = F.size(F.array_except("plus", "minus")) + F.size(F.array_except("minus", "plus"))
-    closed = last.select("pid", F.coalesce("differ", by_digest).alias("differ"), size.alias("size"))
-    done = tried.filter("differ is not null").select("pid", "differ", "size").unionByName(closed)
+    still, parts = pairs, []
+    for cells in (F.lit(BASE_CELLS), BASE_CELLS + FIRST_RETRY * size, BASE_CELLS + SECOND_RETRY * size):
+        placed = still.repartition(_tasks(digests), "pid")
+        # A pair without an outcome has nothing left after subtraction.
+        differ = F.coalesce(F.col("outcome"), F.lit(0))
+        tried = placed.join(_differences(placed, cells), "pid", "left").withColumn("differ", F.when(differ >= 0, differ))
+        is_open = F.col("differ").isNull()
+        tried = stage_compressed(
+            tried.select("pid", "differ", size.alias("size"), F.when(is_open, F.col("plus")).alias("plus"),
+                         F.when(is_open, F.col("minus")).alias("minus")),
+            "peeled",
+        )
+        parts.append(tried.filter("differ is not null").select("pid", "differ", "size"))
+        still = tried.filter("differ is null").select("pid", "plus", "minus")
+        digests = tried.agg(F.coalesce(F.sum(F.when(is_open, F.col("size"))), F.lit(0))).first()[0]
+    done = still.select("pid", by_digest.cast("bigint").alias("differ"), size.alias("size"))
+    for part in parts:
+        done = done.unionByName(part)
     shared = (F.col("size") - F.col("differ")) / (F.col("size") + F.col("differ"))
     return done.select("pid", F.when(F.col("size") == 0, 1.0).otherwise(shared).alias("likeness"))
 
