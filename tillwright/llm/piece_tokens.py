@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 # Distinct pieces remembered per task, about 200 bytes each; pieces first seen later are encoded at each sight.
 REMEMBERED_PIECES = 700_000
-RUN_OF_BLANKS = re.compile(r"\s\s|\A\s|\s\Z")
+RUN_OF_BLANKS = re.compile(r"\s\s")
 # Letters below this one are precomposed Latin letters, on which all Unicode versions agree.
 BEYOND_LATIN = "\u0250"
 
@@ -98,6 +98,9 @@ class PieceEncoder:
         cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         return b"".join(map(pieces.__getitem__, cut))
 
+    def count(self, text: str) -> int:
+        return len(self.encode(text)) // 4
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str, blanks_kept: bool) -> PieceEncoder:

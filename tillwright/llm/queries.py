@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import decontaminate, language, packing, quality, simhash_trie, sketch, token_shards, wrapper
-from tillwright.llm.common import table
+from tillwright.llm import chat, decontaminate, edit_counts, language, packing, quality, simhash_trie, sketch, token_shards, wrapper
+from tillwright.llm.common import stage_compressed, table
 from tillwright.plans.staging import shared_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -77,3 +77,48 @@ def op10_code_languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from the documents that are not held out."""
     docs = table(spark, folder, "documents")
     return language.predict_language(docs, language.train(docs))
+
+
+@query
+def op3_chat_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of all conversations and one that quotes control strings, read back from the formatted output."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    quoting = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", quoting), (-7, 1, "assistant", quoting)], "conv_id bigint, turn bigint, role string, text string")
+    output = stage_compressed(chat.format_conversations(rows.unionByName(extra)), "chat")
+    return chat.digest_of(output)
+
+
+@query
+def op7_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each: an insertion, a deletion, a replacement.
+
+    The first 40 characters are inserted at a third, 25 are removed in the middle, and 10 near the end are replaced
+    by the first 15.
+    """
+    vocabulary = public_tokenizers.path(BYTE_VOCABULARY)
+    trees = stage_compressed(edit_counts.build_trees(table(spark, folder, "documents"), vocabulary), "count-trees")
+    size = F.char_length("text")
+    change = lambda at, remove, insert: F.struct(
+        F.floor(at).cast("bigint").alias("at"), F.lit(remove).cast("bigint").alias("remove"), insert.alias("insert")
+    )
+    edits = F.array(
+        change(size / 3, 0, F.left("text", F.lit(40))), change(size / 2, 25, F.lit("")),
+        change(size * 0.9, 10, F.left("text", F.lit(15))),
+    )
+    return edit_counts.apply_edits(trees.withColumn("edits", edits), vocabulary)
+
+
+ORACLE_SQL["op3_chat_round_trip"] = """
+WITH rows AS (
+ SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+guarded AS (
+ SELECT *, regexp_replace(text, '([\\[<])(\\\\*)(/?(?:INST\\]|s>))', '\\1\\\\\\2\\3', 'g') AS safe,
+  bool_or(regexp_matches(text, '\\[/?INST\\]|</?s>')) OVER (PARTITION BY conv_id) AS conflict FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ cast(4 + sum(6 + length(role) + 1 + length(CASE WHEN conflict THEN safe ELSE text END) + 4) AS BIGINT) AS formatted_chars
+FROM guarded GROUP BY conv_id"""
