@@ -29,7 +29,7 @@ UNKNOWN = "und"
 BUCKETS = 4_096
 TRAIN_PER_LANGUAGE = 800
 # Lead of the best language over the second, in mean loss per bit, below which a text counts as ambiguous.
-AMBIGUOUS = 0.05
+AMBIGUOUS = 0.02
 # Above this many languages the code is drawn instead of listing every split of them.
 ALL_SPLITS = 6
 PENALTY, STEPS = 1e-3, 60

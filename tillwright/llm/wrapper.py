@@ -23,7 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.llm.common import in_chunks, stage_compressed
@@ -197,18 +197,14 @@ def main_text(root: Node, template: set[int]) -> str:
 def host_references(pages: DataFrame, references: int = REFERENCES) -> DataFrame:
     """(host, pages, references): distinct pages and a few reference trees per host, by least content hash.
 
-    The least hashes are found by partial aggregates over (host, hash) pairs; no host is gathered.
+    The rank limit on the hashes of a host is taken inside the tasks first; no host is gathered.
     """
     content = F.xxhash64(F.coalesce("html", F.lit("")))
     keyed = pages.select(host_of(F.col("url")).alias("host"), content.alias("content"), "html")
     distinct = stage_compressed(keyed.select("host", "content").distinct(), "page-hashes")
-    counts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.min("content").alias("least"))
-    chosen = counts.select("host", F.col("least").alias("content"))
-    rest, picked = distinct, chosen
-    for _ in range(references - 1):
-        rest = rest.join(chosen, ["host"]).filter(rest["content"] > chosen["content"]).select("host", rest["content"])
-        chosen = rest.groupBy("host").agg(F.min("content").alias("content"))
-        picked = picked.unionByName(chosen)
+    counts = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    order = Window.partitionBy("host").orderBy("content")
+    picked = distinct.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= references).drop("nth")
     picked = stage_compressed(picked, "reference-hashes")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
