@@ -3,7 +3,8 @@
 Pages of a host come from one template. A few reference pages per host are chosen by a hash of their content. Every
 page is aligned with them by simple tree matching (Yang, 1991), which pairs nodes of equal label in order and level by
 level. For each text slot of a reference the pages vote whether they hold the same text there. Slots with one text on
-nearly all distinct pages of the host are template, the others hold content. Extraction aligns a page with its host's
+nearly all distinct pages of the host are template, the others hold content; a block is kept whole if any of its slots
+holds content. Extraction aligns a page with its host's
 wrapper again and leaves out template slots, and besides what an element says it is: menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments, by name, class or id. Where a page has an article or main
 element, only that counts.
@@ -158,7 +159,8 @@ def agreeing_slots(page: Node, reference: Node, numbers: dict[int, int]) -> Iter
 
 
 def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of the article in page order. ``template`` has ids of text nodes that belong to the template."""
+    """Blocks of the article in page order. ``template`` has ids of text nodes that belong to the template; a block
+    goes only if all its text does."""
     found: list[Node] = []
     pending = [root]
     while pending:
@@ -172,7 +174,7 @@ def main_text(root: Node, template: set[int]) -> str:
     blocks, current = [], []
 
     def close() -> None:
-        if text := one_spaced("".join(current)):
+        if not all(constant for _, constant in current) and (text := one_spaced("".join(part for part, _ in current))):
             blocks.append(text)
         current.clear()
 
@@ -183,8 +185,9 @@ def main_text(root: Node, template: set[int]) -> str:
             if node is None:
                 close()
             elif node.tag == "#text":
-                if id(node) not in template:
-                    current.append(node.text)
+                current.append((node.text, id(node) in template or not node.text.strip()))
+            elif node.tag == "br":
+                current.append((" ", True))
             elif node is start or not _is_aside(node):
                 if node.tag in BLOCK:
                     close()
