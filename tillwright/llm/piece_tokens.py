@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from struct import pack
 
-import numpy as np
 from tokenizers import Tokenizer
 
 # Distinct pieces remembered per task, about 200 bytes each; pieces first seen later are encoded at each sight.
@@ -24,7 +24,7 @@ BEYOND_LATIN = "\u0250"
 
 def _is_plain(word: str) -> bool:
     """One run of Latin letters, in lower case too (one capital has a lower case with a mark that is no letter)."""
-    return word.isalpha() and max(word) < BEYOND_LATIN and word.lower().isalpha()
+    return word.isalpha() and (word.isascii() or max(word) < BEYOND_LATIN and word.lower().isalpha())
 
 
 class _Marks(dict):
@@ -57,8 +57,10 @@ class _Pieces(dict):
         if _is_plain(word):
             if self.blanks_kept:
                 ids = self._packed(self._tokens(("" if word is piece else self.blank) + self._written(word)))
+            elif (lower := word.lower()) != piece:
+                ids = self[lower]
             else:
-                ids = self._packed(self._tokens(self._written(word.lower())))
+                ids = self._packed(self._tokens(self._written(lower)))
         elif piece[-1:] in (".", ",") and _is_plain(word[:-1]):
             ids = self[piece[:-1]] + self[piece[-1]]
         else:
@@ -75,7 +77,7 @@ class _Pieces(dict):
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)

@@ -37,9 +37,10 @@ def build(ids: np.ndarray) -> list[Plane]:
     for bit in range(width - 1, -1, -1):
         ones = (order >> bit) & 1 != 0
         packed = np.packbits(ones, bitorder="little")
-        zeros = order[~ones]
+        # compress takes indices first, which random bits don't slow down.
+        zeros = order.compress(~ones)
         planes.append(Plane(len(zeros), packed.tobytes(), _ranks(packed).tobytes()))
-        order = np.concatenate([zeros, order[ones]])
+        order = np.concatenate([zeros, order.compress(ones)])
     return planes
 
 
@@ -58,8 +59,8 @@ class WaveletMatrix:
         for level in range(self.width - 1, -1, -1):
             ones = np.unpackbits(self.bits[level], count=self.length, bitorder="little").view(bool)
             above = np.empty_like(order)
-            above[~ones] = order[: self.zeros[level]]
-            above[ones] = order[self.zeros[level]:] | order.dtype.type(1 << (self.width - 1 - level))
+            above[np.flatnonzero(~ones)] = order[: self.zeros[level]]
+            above[np.flatnonzero(ones)] = order[self.zeros[level] :] | order.dtype.type(1 << (self.width - 1 - level))
             order = above
         return order.astype(np.uint32)
 
