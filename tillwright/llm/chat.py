@@ -76,7 +76,8 @@ def joined(segments: Column) -> Column:
 
 
 def level_of(formatted: Column) -> Column:
-    return F.element_at(F.split(formatted, CONTROL), 2)
+    """The character behind the opening ``<s>``; the text is not searched for it."""
+    return F.substring(formatted, len(START) + 1, 1)
 
 
 def parse(formatted: Column) -> Column:
@@ -102,7 +103,9 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, segments, formatted): the lowest escape level whose round trip recovers every turn."""
     chats = conversations_of(rows)
     for level in range(LEVELS):
-        chats = chats.withColumn(f"segments_{level}", render(F.col("turns"), level))
+        # What an earlier level recovered is not rendered again.
+        open_turns = F.when(~F.col("same_0"), F.col("turns")) if level else F.col("turns")
+        chats = chats.withColumn(f"segments_{level}", render(open_turns, level))
         chats = chats.withColumn(f"formatted_{level}", joined(F.col(f"segments_{level}")))
         recovered = parse(F.col(f"formatted_{level}"))
         same = (recovered == F.col("turns")) & (joined(render(recovered, level)) == F.col(f"formatted_{level}"))
