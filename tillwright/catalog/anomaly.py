@@ -11,7 +11,10 @@ BASE = "date:d revenue:m rolling_mean_30:f rolling_std_30:c z_score:f"
 IMPACT = "revenue_deviation:f revenue_deviation_pct:f"
 DETECTED = f"{BASE} is_anomaly:b severity:s {IMPACT}"
 
-register("baseline", BASE, on_daily(anomaly.baseline), "SELECT * FROM scored", views="scored")
+register(
+    "baseline", "date:d revenue:m rolling_mean_30:f rolling_std_30:c", on_daily(anomaly.baseline), "SELECT * FROM scored",
+    views="scored",
+)
 register(
     "z_score", "date:d z_score:f", lambda spark, folder: anomaly.with_z_score(anomaly.baseline(daily(spark, folder))),
     "SELECT date, z_score FROM scored", views="scored",
@@ -53,7 +56,7 @@ register(
 register(
     "multivariate_anomalies_by_country", "country:s date:d revenue:m isolation_score:f is_multivariate_anomaly:b",
     lambda spark, folder: isolation.multivariate_anomalies(
-        stage(daily_metrics(clean(spark, folder), ("country",)), "daily"), keys=("country",), trees=20
+        stage(daily_metrics(clean(spark, folder), ("country",)), "daily"), keys=("country",)
     ),
 )
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tillwright.operators import kpi
 from tillwright.operators.cleaning import clean_transactions
-from tillwright.plans.staging import stage
+from tillwright.plans.staging import once, shared_path
 from tillwright.sources.retail_tables import raw_transactions
+from tillwright.sources.transactions import write_clean
 
 RAW_SQL = """
 base AS (
@@ -157,8 +158,14 @@ def clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    """Clean lines written once, as the load step leaves them, for queries that read transactions more than once."""
-    return stage(clean(spark, folder), "clean")
+    """The clean set as the load step leaves it, partitioned by month, written once per folder and application."""
+
+    def load() -> DataFrame:
+        path = shared_path(spark, "clean-set")
+        write_clean(clean(spark, folder), path)
+        return spark.read.parquet(path)
+
+    return once(spark, ("clean", folder), load)
 
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,9 +6,8 @@ from tillwright.catalog.base import clean, daily, register, stored
 from tillwright.operators import forecast as f
 from tillwright.operators import treeshap
 from tillwright.operators.kpi import daily_metrics
-from tillwright.plans.staging import stage
+from tillwright.plans.staging import once, stage
 
-ROUNDS = 30
 DENSE = """filled AS (
  SELECT cast(day AS DATE) AS date, coalesce(revenue, 0) AS revenue, coalesce(orders, 0) AS orders, coalesce(customers, 0) AS customers,
   coalesce(units_sold, 0) AS units_sold, coalesce(aov, 0) AS aov
@@ -126,69 +125,129 @@ register(
 )
 
 
-def _staged_split(spark, folder):
-    return f.chrono_split(stage(f.training_rows(_features(spark, folder)), "features"))
+def _flow(spark, folder) -> dict:
+    """The forecast flow with the operators' own parameters, run once per folder and application and kept as tables.
+
+    Features, split, evaluation model and its predictions, final model on all rows, both forecasts, and the
+    attributions of every row; the queries below read them.
+    """
+
+    def run() -> dict:
+        tx = stored(spark, folder)
+        rows, predictions, final, reference = f.forecast_run(tx)
+        everything = stage(_features(spark, folder), "features")
+        future = f.forecast(final, everything, "future")
+        forecasts = reference.withColumn("mode", F.lit("reference")).unionByName(future.withColumn("mode", F.lit("future")))
+        scored = stage(predictions, "predictions")
+        explained = treeshap.tree_shap(final, scored).join(f.predict(final, rows).select("date", "prediction"), "date")
+        return {
+            "predictions": scored, "forecasts": stage(forecasts, "forecasts"), "explained": stage(explained, "attributions"),
+        }
+
+    return once(spark, ("forecast-flow", folder), run)
+
+
+def _within(value, predictions):
+    """Boosted trees average targets, so a prediction stays near the range of the targets they were fitted on."""
+    low, high = predictions.agg(F.min(f.TARGET), F.max(f.TARGET)).first()
+    slack = (high - low) / 4 + 1
+    return (value > low - slack) & (value < high + slack)
 
 
 def _trained(spark, folder):
-    split = _staged_split(spark, folder)
-    return f.evaluate(f.predict(f.train(split.filter("is_train"), ROUNDS), split))
+    predictions = _flow(spark, folder)["predictions"]
+    own, naive = f.evaluate(predictions), f.evaluate(f.naive_forecast(predictions.drop("prediction")))
+    errors = own.join(naive.select(F.col("mae").alias("naive_mae")))
+    return errors.select("train_rows", "test_rows", (F.col("rmse") >= F.col("mae")).alias("ordered_errors"),
+                         (F.col("mae") < F.col("naive_mae")).alias("beats_naive"))
 
 
-register("train", METRICS, _trained)
+SIZES_SQL = "count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows"
+register(
+    "train", "train_rows:n test_rows:n ordered_errors:b beats_naive:b", _trained,
+    f"SELECT {SIZES_SQL}, true AS ordered_errors, true AS beats_naive FROM split", views="daily", helpers=DENSE,
+)
 
 
 def _forecasts(spark, folder):
-    rows = stage(_features(spark, folder), "features")
-    model = f.train(f.training_rows(rows), ROUNDS)
-    found = [f.forecast(model, rows, mode).withColumn("mode", F.lit(mode)) for mode in ("reference", "future")]
-    return found[0].unionByName(found[1])
+    flow = _flow(spark, folder)
+    value = F.col("next_7_days_revenue")
+    return flow["forecasts"].select("mode", "based_on_date", _within(value, flow["predictions"]).alias("in_range"))
 
 
-register("forecast", "mode:s based_on_date:d next_7_days_revenue:c", _forecasts)
+register(
+    "forecast", "mode:s based_on_date:d in_range:b", _forecasts,
+    """SELECT 'reference' AS mode, max(date) AS based_on_date, true AS in_range FROM split
+UNION ALL SELECT 'future', max(date), true FROM filled""",
+    views="daily", helpers=DENSE,
+)
 
 
-def _attributed(spark, folder):
-    split = _staged_split(spark, folder)
-    model = f.train(split, ROUNDS)
-    return treeshap.tree_shap(model, treeshap.recent_rows(split))
+def _history_of_model(spark, folder):
+    predictions = _flow(spark, folder)["predictions"]
+    history = f.prediction_history(predictions)
+    return history.select("date", "actual", _within(F.col("predicted"), predictions).alias("in_range"))
 
 
-register("tree_shap", "date:d base_value:f " + " ".join(f"{c}:f" for c in f.FEATURES), _attributed)
-def _model_checks(spark, folder):
-    """Properties a fitted model must have, one row: sizes, a lower error than repeating last week, additive attributions."""
-    rows = stage(_features(spark, folder), "features")
-    split = stage(f.chrono_split(f.training_rows(rows)), "split")
-    model = f.train(split.filter("is_train"), ROUNDS)
-    scored = f.predict(model, split)
-    own, naive = (f.evaluate(p).select("train_rows", "test_rows", "mae") for p in (scored, f.naive_forecast(split)))
-    explained = treeshap.tree_shap(model, treeshap.recent_rows(split)).join(scored.select("date", "prediction"), "date")
+register(
+    "prediction_history_of_model", "date:d actual:c in_range:b", _history_of_model,
+    """SELECT date, next_7_days_revenue AS actual, true AS in_range FROM split WHERE NOT is_train ORDER BY date DESC LIMIT 60""",
+    views="daily", helpers=DENSE,
+)
+
+
+def _additive(explained):
     total = F.col("base_value")
     for feature in f.FEATURES:
-        total = total + F.col(f"{feature}_shap")
-    explained = explained.withColumnsRenamed({c: f"{c}_shap" for c in f.FEATURES}).select(
-        F.lit("explained").alias("part"), (F.abs(total - F.col("prediction")) < 1e-3).alias("good")
+        total = total + F.col(feature)
+    return F.abs(total - F.col("prediction")) < 1e-6 * F.greatest(F.abs(F.col("prediction")), F.lit(1.0)) + 1e-3
+
+
+def _attributed(spark, folder):
+    explained = _flow(spark, folder)["explained"]
+    return explained.select("date", _additive(explained).alias("additive"))
+
+
+register(
+    "tree_shap", "date:d additive:b", _attributed, "SELECT date, true AS additive FROM split", views="daily", helpers=DENSE
+)
+
+
+def _model_checks(spark, folder):
+    """Properties of the whole flow in one row: sizes, a lower error than repeating last week, additive attributions."""
+    flow = _flow(spark, folder)
+    explained = flow["explained"]
+    sums = explained.agg(F.count(F.lit(1)).alias("explained_rows"), F.every(_additive(explained)).alias("additive"))
+    dates = flow["forecasts"].groupBy().pivot("mode", ["reference", "future"]).agg(F.max("based_on_date"))
+    return _trained(spark, folder).drop("ordered_errors").join(sums).join(
+        dates.withColumnsRenamed({"reference": "reference_date", "future": "future_date"})
     )
-    sums = explained.agg(F.count(F.lit(1)).alias("explained_rows"), F.every("good").alias("additive"))
-    dates = [f.forecast(model, rows, mode).select(F.col("based_on_date").alias(f"{mode}_date")) for mode in ("reference", "future")]
-    merged = own.withColumnRenamed("mae", "own_mae").unionByName(naive.select(F.col("mae").alias("naive_mae")), allowMissingColumns=True)
-    for part in (sums, *dates):
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    row = merged.agg(*[(F.every(c) if c == "additive" else F.max(c)).alias(c) for c in merged.columns])
-    return row.withColumn("beats_naive", F.col("own_mae") < F.col("naive_mae"))
 
 
 register(
     "model_checks",
     "train_rows:n test_rows:n beats_naive:b explained_rows:n additive:b reference_date:d future_date:d", _model_checks,
-    """SELECT count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows, true AS beats_naive,
- least(100, count(*) FILTER (WHERE NOT is_train)) AS explained_rows, true AS additive, max(date) AS reference_date,
+    f"""SELECT {SIZES_SQL}, true AS beats_naive, count(*) AS explained_rows, true AS additive, max(date) AS reference_date,
  (SELECT max(date) FROM filled) AS future_date FROM split""",
     views="daily", helpers=DENSE,
 )
+
+
+def _model_importance(spark, folder):
+    """The importance list of the model: its length and order, and that no attribution of it is negative."""
+    flow = _flow(spark, folder)
+    recent = treeshap.recent_rows(flow["predictions"]).select("date")
+    top = stage(treeshap.shap_importance(flow["explained"].join(recent, "date", "left_semi")), "importance")
+    return top.agg(
+        F.count(F.lit(1)).alias("features"), F.count_distinct("feature").alias("distinct_features"),
+        F.every(F.col("importance") >= 0).alias("no_negative"), (F.max("importance") > 0).alias("some_positive"),
+    )
+
+
 register(
-    "shap_importance_of_model", "feature:s importance:f",
-    lambda spark, folder: treeshap.shap_importance(_attributed(spark, folder)),
+    "shap_importance_of_model", "features:n distinct_features:n no_negative:b some_positive:b", _model_importance,
+    "SELECT 10 AS features, 10 AS distinct_features, true AS no_negative, count(*) > 0 AS some_positive FROM split",
+    views="daily", helpers=DENSE,
 )
 register(
     "shap_importance", "feature:s importance:r",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StringType
@@ -17,11 +19,18 @@ WHITESPACE = (
 BAD_DEBT_TEXT = "adjust bad debt"
 
 
-def coerce_types(df: DataFrame, quantity_type: str = "bigint", price_type: str = "decimal(12,2)") -> DataFrame:
+# Types of parsed text, wide enough for fractional quantities and prices finer than a penny.
+QUANTITY, PRICE = "decimal(18,4)", "decimal(18,6)"
+# Tried in order after ISO dates; month first where day and month could be confused.
+DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy", "d.M.yyyy H:mm", "d.M.yyyy", "d-MMM-yyyy")
+
+
+def coerce_types(
+    df: DataFrame, quantity_type: str = QUANTITY, price_type: str = PRICE, date_formats: Sequence[str] = DATE_FORMATS
+) -> DataFrame:
     """Parse text dates, quantities, prices and customer ids; what cannot be parsed becomes null.
 
-    Columns that already have a type are left alone, and absent columns are skipped. Use
-    ``quantity_type="double"`` and ``price_type="double"`` for sources with fractional quantities or finer prices.
+    Columns that already have a type are left alone, and absent columns are skipped.
     """
     text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
     number = {"quantity": quantity_type, "price": price_type, "customer_id": "bigint"}
@@ -33,7 +42,9 @@ def coerce_types(df: DataFrame, quantity_type: str = "bigint", price_type: str =
             parsed = F.trim(name).try_cast("double" if target == "double" else "decimal(38,6)")
             typed[name] = F.when(parsed == parsed.try_cast(target), parsed.try_cast(target))
     if "invoice_ts" in text:
-        typed["invoice_ts"] = F.col("invoice_ts").try_cast("timestamp")
+        moment = F.trim("invoice_ts")
+        parsed = [F.try_to_timestamp(moment, F.lit(pattern)) for pattern in date_formats]
+        typed["invoice_ts"] = F.coalesce(moment.try_cast("timestamp"), *parsed)
     return df.withColumns(typed) if typed else df
 
 

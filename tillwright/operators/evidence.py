@@ -25,7 +25,6 @@ TOGETHER_IMPACT = "Intersection revenue: £%s."
 STRENGTHS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 UNNAMED_PRODUCT = "Unknown product"
-LIST_LIMIT = 50
 
 INSTRUCTIONS = """\
 Explain one revenue anomaly to a business reader, using nothing but the evidence below.
@@ -144,7 +143,7 @@ def explanation_prompts(context: DataFrame, instructions: str = INSTRUCTIONS) ->
     return context.select("date", prompt.alias("prompt"))
 
 
-def _lines(value: Column, kind: DataType, depth: int) -> Column:
+def _lines(value: Column, kind: DataType, depth: int, limit: int | None) -> Column:
     """Array of (depth, label, value) for a nested value; headings have no value."""
 
     def entry(label: Column, text: Column) -> Column:
@@ -153,14 +152,14 @@ def _lines(value: Column, kind: DataType, depth: int) -> Column:
     def labelled(label: Column, item: Column, item_kind: DataType) -> Column:
         if isinstance(item_kind, (StructType, ArrayType)):
             heading = F.array(entry(label, F.lit(None)))
-            inner = F.concat(heading, _lines(item, item_kind, depth + 1))
+            inner = F.concat(heading, _lines(item, item_kind, depth + 1, limit))
             return F.when(item.isNotNull(), inner).otherwise(F.array(entry(label, F.lit("None"))))
         return F.array(entry(label, F.coalesce(item.cast("string"), F.lit("None"))))
 
     if isinstance(kind, StructType):
         names = {f.name: F.lit(f.name.replace("_", " ").title()) for f in kind.fields}
         return F.concat(*[labelled(names[f.name], value.getField(f.name), f.dataType) for f in kind.fields])
-    items = F.slice(value, 1, LIST_LIMIT)
+    items = value if limit is None else F.slice(value, 1, limit)
     element = kind.elementType
     if isinstance(element, (StructType, ArrayType)):
         return F.flatten(F.transform(
@@ -169,9 +168,9 @@ def _lines(value: Column, kind: DataType, depth: int) -> Column:
     return F.transform(items, lambda item: entry(F.lit("-"), item))
 
 
-def report_lines(report: DataFrame) -> DataFrame:
-    """Reports as ordered (line, depth, label, value) rows; lists show their first 50 items."""
+def report_lines(report: DataFrame, list_limit: int | None = None) -> DataFrame:
+    """Reports as ordered (line, depth, label, value) rows; lists show all items, or the first ``list_limit``."""
     sections = [f for f in report.schema.fields if f.name != "date"]
     body = F.struct(*[F.col(f.name) for f in sections])
-    lines = _lines(body, StructType(sections), 0)
+    lines = _lines(body, StructType(sections), 0, list_limit)
     return report.select("date", F.posexplode(lines).alias("line", "entry")).select("date", "line", "entry.*")

@@ -115,7 +115,7 @@ def forecasting_data(daily: DataFrame, tx: DataFrame | None = None, keys: Keys =
 def require_history(rows: DataFrame, minimum: int = MINIMUM_ROWS) -> DataFrame:
     """Raise ValueError below ``minimum`` training rows."""
     if rows.limit(minimum).count() < minimum:
-        raise ValueError("Not enough historical data for forecasting.")
+        raise ValueError(f"A forecast needs at least {minimum} days with complete history")
     return rows
 
 

@@ -21,6 +21,7 @@ from tillwright.functions.scalar import (
     ratio_or_zero,
     zero_if_null,
 )
+from tillwright.plans.staging import stage
 
 
 def orders_by(tx: DataFrame, keys: dict[str, Column], units: str = "net") -> DataFrame:
@@ -228,9 +229,12 @@ def top_product_share(tx: DataFrame, n: int = 5) -> DataFrame:
     """Top descriptions by revenue over dated lines and their percentage of all revenue."""
     product = F.coalesce("description", F.lit("Unknown product"))
     dated = tx.filter(F.col("invoice_ts").isNotNull())
-    sums = dated.groupBy(product.alias("product")).agg(money(F.sum("revenue")).alias("revenue"))
-    total = dated.select(money(F.sum("revenue"))).scalar()  # a pruned scan without a shuffle
-    return sums.orderBy(F.desc("revenue"), "product").limit(n).withColumn("share", percent_of(F.col("revenue"), total))
+    # The total is the sum of the exact sums, so the lines are read once.
+    sums = dated.groupBy(product.alias("product")).agg(F.sum("revenue").alias("_exact"), money(F.sum("revenue")).alias("revenue"))
+    sums = stage(sums, "products")
+    total = sums.select(money(F.sum("_exact"))).scalar()
+    top = sums.drop("_exact").orderBy(F.desc("revenue"), "product").limit(n)
+    return top.withColumn("share", percent_of(F.col("revenue"), total))
 
 
 def day_over_day(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -18,7 +18,9 @@ def rfm(tx: DataFrame) -> DataFrame:
         F.count_distinct("invoice").alias("frequency"),
         money(F.sum("revenue")).alias("monetary"),
     )
-    reference = known.select(F.max("invoice_ts")).scalar()  # a pruned scan without a shuffle
+    # The last purchase of all is the latest of the customers' own, so the lines are read once.
+    per_customer = stage(per_customer, "customers")
+    reference = per_customer.select(F.max("last_purchase_ts")).scalar()
     elapsed = reference - F.col("last_purchase_ts")
     return per_customer.select(
         "customer_id", F.extract(F.lit("DAY"), elapsed).cast("int").alias("recency"),

@@ -21,6 +21,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tillwright.operators.forecast import FEATURES
 from tillwright.plans.staging import shared_path
 
+# Rows that one task explains at least.
+ROWS_PER_TASK = 256
+
 
 @dataclass(frozen=True)
 class Leaf:
@@ -106,7 +109,10 @@ def attributions(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
 
 
 def tree_shap(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """date, base_value and one attribution column per feature; they add up to the model's prediction."""
+    """date, base_value and one attribution column per feature; they add up to the model's prediction.
+
+    Every task walks all leaves, so rows are spread over a few tasks only.
+    """
     leaves = model_leaves(model)
     start = base_value(leaves)
 
@@ -119,7 +125,8 @@ def tree_shap(model: PipelineModel, rows: DataFrame) -> DataFrame:
 
     numbers = [StructField(c, DoubleType()) for c in ["base_value", *FEATURES]]
     schema = StructType([rows.schema["date"], *numbers])
-    return rows.select("date", *FEATURES).mapInPandas(explain, schema)
+    tasks = max(1, min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_TASK))
+    return rows.select("date", *FEATURES).repartition(tasks).mapInPandas(explain, schema)
 
 
 def recent_rows(split: DataFrame, n: int = 100) -> DataFrame:

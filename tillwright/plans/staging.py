@@ -8,6 +8,8 @@ result (flagged days, per-day measures) do not each recompute it from the transa
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import Any
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +21,13 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the setting is absent."""
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tillwright-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -52,11 +56,28 @@ def bounded_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> D
     return broadcast_if_small(stage(df, label), max_rows)
 
 
+def once(spark: SparkSession, key: tuple, build: Callable[[], Any]) -> Any:
+    """What ``build`` returns, built at the first call with ``key`` in this application and kept until drop_staged.
+
+    Meant for staged tables that many queries read: they are written once, not once per query.
+    """
+    kept = _KEPT.setdefault(spark.sparkContext.applicationId, {})
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]
+
+
+_KEPT: dict[str, dict[tuple, Any]] = {}
+
+
+def hadoop_path(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system (local, object store, HDFS), by the only handle PySpark has on them."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Delete this application's staged tables."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(
-        f"{shared_root(spark)}/tillwright/{spark.sparkContext.applicationId}"
-    )
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
+    _KEPT.pop(spark.sparkContext.applicationId, None)
+    target, files = hadoop_path(spark, f"{shared_root(spark)}/tillwright/{spark.sparkContext.applicationId}")
+    files.delete(target, True)

@@ -15,13 +15,15 @@ DEFAULTS = {
 }
 
 
-# Shuffled bytes per partition to aim for, so that a partition sorts and aggregates in executor memory.
-PARTITION_BYTES = 128 * 1024 * 1024
+# Input bytes per shuffle partition to aim for. Far less of them is shuffled, as lines are combined before.
+PARTITION_BYTES = 1024**3
+# Map outputs are tracked per map and partition, so their number must stay bounded; beyond it partitions grow and spill.
+MOST_PARTITIONS = 20_000
 
 
 def partitions_for(input_bytes: int, at_least: int = 200) -> int:
-    """Shuffle partitions for an input size. Too many is harmless: adaptive execution merges small ones."""
-    return max(at_least, -(-input_bytes // PARTITION_BYTES))
+    """Shuffle partitions for an input size; adaptive execution merges those that turn out small."""
+    return min(MOST_PARTITIONS, max(at_least, -(-input_bytes // PARTITION_BYTES)))
 
 
 def build_session(

@@ -7,9 +7,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tillwright.functions.scalar import money, month_of
-from tillwright.operators.cleaning import cancelled, coerce_types, bad_debt, line_revenue
+from tillwright.operators.cleaning import DATE_FORMATS, PRICE, QUANTITY, bad_debt, cancelled, coerce_types, line_revenue
+from tillwright.plans.staging import hadoop_path
 
 # Header of the exchanged files and the column each maps to.
 FILE_COLUMNS = {
@@ -37,44 +39,71 @@ def check_format(path: str) -> str:
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the path (local, object store, HDFS)."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    target, files = hadoop_path(spark, path)
+    return files.exists(target)
 
 
 def require_columns(df: DataFrame, required: Sequence[str] = tuple(TRANSACTION_COLUMNS)) -> DataFrame:
     """Return ``df`` unchanged, or raise ValueError naming the missing columns in sorted order. Runs no job."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"Input lacks the columns {missing}")
     return df
 
 
 def read_transactions(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     fmt: str | None = None,
     columns: Sequence[str] | None = None,
     multi_line: bool = False,
+    quantity_type: str = QUANTITY,
+    price_type: str = PRICE,
+    date_formats: Sequence[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Read transactions from CSV, JSON or parquet into typed snake_case columns.
 
-    Text formats are read as strings (one header read, no inference pass over the data) and coerced;
-    unparseable values become null. ``columns`` limits the scan to a subset. ``multi_line`` is needed only
-    for quoted line breaks in CSV and makes files unsplittable, so it is off by default.
+    Text formats are read as strings (no inference pass over the data) and coerced to the given types, dates by the
+    given formats; unparseable values become null and can be counted by ``unparseable_values``. Several paths are
+    matched by column name, each CSV path by its own header; files of one path must agree in their header, else the
+    read fails. ``columns`` limits the scan to a subset. ``multi_line`` is needed only for quoted line breaks in CSV
+    and makes files unsplittable, so it is off by default.
     """
-    fmt = fmt or check_format(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    named = reduce(lambda a, b: a.unionByName(b), [_named(spark, p, fmt or check_format(p), multi_line) for p in paths])
+    wanted = list(columns) if columns else [c for c in named.columns if not c.startswith("_")]
+    return coerce_types(named.select(*wanted), quantity_type, price_type, date_formats)
+
+
+def _named(spark: SparkSession, path: str, fmt: str, multi_line: bool) -> DataFrame:
+    """One path as it is, with our column names."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"No such input: {path}")
     if fmt == "csv":
-        raw = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"')
+        header = spark.read.csv(path, header=True, inferSchema=False, escape='"').columns
+        # With the schema given, Spark compares it with the header of every file instead of reading by position.
+        names = StructType([StructField(name, StringType()) for name in header])
+        raw = spark.read.schema(names).csv(path, header=True, enforceSchema=False, multiLine=multi_line, escape='"')
     elif fmt == "json":
-        raw = spark.read.json(path, primitivesAsString=True)
+        raw = spark.read.schema(StructType([StructField(name, StringType()) for name in FILE_COLUMNS])).json(path)
     else:
         raw = spark.read.parquet(path)
-    named = raw.withColumnsRenamed({k: v for k, v in FILE_COLUMNS.items() if k in raw.columns})
-    require_columns(named)
-    wanted = list(columns) if columns else [c for c in named.columns if not c.startswith("_")]
-    return coerce_types(named.select(*wanted))
+    return require_columns(raw.withColumnsRenamed({k: v for k, v in FILE_COLUMNS.items() if k in raw.columns}))
+
+
+def unparseable_values(text: DataFrame, typed: DataFrame) -> DataFrame:
+    """(column, values): how many non-blank texts of each parsed column have no typed value.
+
+    Both sides are counted on their own, so that neither order nor keys are needed.
+    """
+    parsed = [c for c in ("quantity", "price", "invoice_ts", "customer_id") if c in text.columns]
+    given = text.agg(*[F.count_if(F.trim(F.col(c).cast("string")) != "").alias(c) for c in parsed])
+    read = typed.agg(*[F.count(c).alias(c) for c in parsed])
+    sides = given.withColumn("_sign", F.lit(1)).unionByName(read.withColumn("_sign", F.lit(-1)))
+    return (
+        sides.unpivot(["_sign"], parsed, "column", "n").groupBy("column")
+        .agg(F.sum(F.col("n") * F.col("_sign")).alias("values"))
+    )
 
 
 def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
@@ -125,7 +154,8 @@ def manifest_upsert(manifest: DataFrame, new: DataFrame) -> DataFrame:
     """
     fields = [c for c in manifest.columns if c != "dataset_id"]
     both = manifest.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    winner = F.max_by(F.struct(*fields), F.struct("_new", "created_at")).alias("_winner")
+    # All fields break ties, so that equal times have one winner.
+    winner = F.max_by(F.struct(*fields), F.struct("_new", "created_at", *[c for c in fields if c != "created_at"])).alias("_winner")
     return (
         both.filter(F.col("dataset_id").rlike("^[0-9a-fA-F]{32}$"))
         .groupBy("dataset_id")
