@@ -15,11 +15,18 @@ from pyspark.sql import functions as F
 from tillwright.plans.staging import shared_path
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Send this package's source to the Python workers, once per application, as ``--py-files`` would."""
+# Rows per Arrow batch: documents average some kilobytes and a few are very long, and a batch is held several times.
+BATCH_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Once per application: send this package's source to the Python workers, as ``--py-files`` would, and keep
+    batches of texts small unless the session already asks for smaller ones."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > int(BATCH_ROWS):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     package = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp()) / f"{package.name}-source.zip"
     with zipfile.ZipFile(archive, "w") as target:
@@ -34,7 +41,7 @@ _SHIPPED: set[str] = set()
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables, read by Spark's own reader so that the folder may be in any store."""
-    ship_code(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 

@@ -16,7 +16,7 @@ from struct import pack
 from tokenizers import Tokenizer
 
 # Distinct pieces remembered per task, about 200 bytes each; pieces first seen later are encoded at each sight.
-REMEMBERED_PIECES = 700_000
+REMEMBERED_PIECES = 400_000
 RUN_OF_BLANKS = re.compile(r"\s\s")
 # Letters below this one are precomposed Latin letters, on which all Unicode versions agree.
 BEYOND_LATIN = "\u0250"

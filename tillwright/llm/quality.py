@@ -40,7 +40,7 @@ PENALTY, STEPS = 2e-4, 400
 # Grades seen before any label: good documents prevail.
 PRIOR = (0.5, 0.5, 2.0)
 PREFIXES = (4, 5)
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 150_000
 
 WORD = re.compile(r"\w+")
 SYMBOLS = re.compile(r"[^\w\s]+")
