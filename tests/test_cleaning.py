@@ -6,7 +6,14 @@ import pytest
 
 from tillwright.operators import cleaning
 from tillwright.operators.profile import clean_invariants, duplicate_rows
-from tillwright.sources.transactions import check_format, read_transactions, require_columns, union_sources, write_clean
+from tillwright.sources.transactions import (
+    check_format,
+    read_transactions,
+    require_columns,
+    union_sources,
+    unparseable_values,
+    write_clean,
+)
 
 
 def test_text_is_coerced_and_damage_becomes_null(spark):
@@ -21,7 +28,10 @@ def test_text_is_coerced_and_damage_becomes_null(spark):
     assert (got["1"]["quantity"], got["1"]["price"], got["1"]["customer_id"]) == (12, Decimal("2.50"), 13085)
     assert [got["2"][c] for c in ("quantity", "price", "invoice_ts", "customer_id")] == [None] * 4
     assert got["3"]["quantity"] == 7 and got["3"]["invoice_ts"].day == 2
-    assert got["4"]["quantity"] is None and got["4"]["price"] == Decimal("100.00")
+    # A fractional quantity is kept; only the whole type asked for makes it unparseable.
+    assert got["4"]["quantity"] == Decimal("1.5") and got["4"]["price"] == Decimal("100.00")
+    whole = {r["invoice"]: r for r in cleaning.coerce_types(raw, quantity_type="bigint").collect()}
+    assert whole["4"]["quantity"] is None and whole["1"]["quantity"] == 12
     fine = cleaning.coerce_types(raw, quantity_type="double", price_type="double").filter("invoice = '4'").first()
     assert (fine["quantity"], fine["price"]) == (1.5, 100.0)
 
@@ -102,3 +112,37 @@ def test_union_and_partitioned_write(spark, four_lines, tmp_path):
     back = spark.read.parquet(str(tmp_path / "clean"))
     assert back.count() == 4 and back.select("month").distinct().count() == 1
     assert (tmp_path / "clean" / "month=2011-12").exists()
+
+
+HEADER = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country"
+
+
+def test_text_is_read_without_loss(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n1,A,x,2,2011-12-09 09:00:00,0.001,13085,UK\n2,B,y,1.5,12/09/2011 09:00,2.555,13086.0,UK\n")
+    (tmp_path / "b.csv").write_text("Price,Customer ID,Invoice,StockCode,Description,Quantity,InvoiceDate,Country\n"
+                                    "3.00,13085,3,C,z,n/a,31-Dec-2011,UK\n")
+    (tmp_path / "c.json").write_text('{"Invoice":"4","StockCode":"D","Quantity":2,"InvoiceDate":"2011-12-09","Price":1.25,"Customer ID":7,"Country":"UK"}\n')
+    paths = [str(tmp_path / name) for name in ("a.csv", "b.csv", "c.json")]
+    got = {r["invoice"]: r for r in read_transactions(spark, paths).collect()}
+    assert [got[i]["price"] for i in "1234"] == [Decimal("0.001"), Decimal("2.555"), Decimal("3"), Decimal("1.25")]
+    assert [got[i]["quantity"] for i in "1234"] == [2, Decimal("1.5"), None, 2]
+    assert [got[i]["customer_id"] for i in "1234"] == [13085, 13086, 13085, 7]
+    assert (got["2"]["invoice_ts"].month, got["3"]["invoice_ts"].day, got["4"]["description"]) == (12, 31, None)
+    rounded = read_transactions(spark, paths[0], price_type="decimal(12,2)").filter("invoice = '2'").first()
+    assert rounded["price"] is None
+
+
+def test_files_of_one_path_must_agree_in_their_header(spark, tmp_path):
+    folder = tmp_path / "mixed.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text(f"{HEADER}\n1,A,x,2,2011-12-09,1,13085,UK\n")
+    (folder / "2.csv").write_text("Price,Customer ID,Invoice,StockCode,Description,Quantity,InvoiceDate,Country\n3,1,3,C,z,1,2011-12-09,UK\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_transactions(spark, str(folder)).collect()
+
+
+def test_unparseable_values_are_counted(spark):
+    text = spark.createDataFrame([("1", "x", ""), ("n/a", "2", "someday"), ("3", None, "2011-12-09")],
+                                 "quantity string, price string, invoice_ts string")
+    found = unparseable_values(text, cleaning.coerce_types(text)).collect()
+    assert {r["column"]: r["values"] for r in found} == {"quantity": 1, "price": 1, "invoice_ts": 1}
