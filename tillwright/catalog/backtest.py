@@ -106,10 +106,10 @@ targets AS (
    UNION ALL SELECT date, 'customer', NULL, NULL, customer_id, NULL, sum(revenue) FROM lines WHERE customer_id IS NOT NULL
     GROUP BY date, customer_id HAVING count(*) >= 2)) WHERE rn = 1),
 injected AS (
- SELECT date, scenario, hour, cast(9000000 + hour - 8 AS VARCHAR) AS invoice,
+ SELECT date, scenario, hour, 'CONTROL-' || cast(hour - 8 AS VARCHAR) AS invoice,
   CASE WHEN scenario = 'product' THEN stock_code ELSE 'CONTROL-' || upper(scenario) END AS stock_code,
   CASE WHEN scenario = 'product' THEN description ELSE 'Controlled Evaluation Transaction' END AS description,
-  1 AS quantity, CASE WHEN scenario = 'customer' THEN customer_id ELSE 999999 END AS customer_id,
+  1 AS quantity, CASE WHEN scenario = 'customer' THEN customer_id ELSE -999999 END AS customer_id,
   CASE WHEN scenario = 'country' THEN country ELSE 'Controlled Evaluation Country' END AS country, 100000.0::DOUBLE / 14 AS revenue
  FROM targets, (SELECT unnest(range(8, 22)) AS hour)),
 trial AS (

@@ -9,15 +9,16 @@ from tillwright.functions.scalar import day_of, money, ratio_or_zero
 from tillwright.operators.contribution import MEMBERS, all_contributions, member_label, rank_root_causes
 from tillwright.plans.staging import bounded_side
 
-# The injected amount, the hours it is spread over, and the members that carry it otherwise.
+# The injected amount, the hours it is spread over, and the names that carry it otherwise.
 SHOCK = 100_000.0
 SHOCK_FACTOR = 3.0
 SHOCK_HOURS = list(range(8, 22))
 CONTROL_CODE = "CONTROL-"
 CONTROL_DESCRIPTION = "Controlled Evaluation Transaction"
-CONTROL_CUSTOMER = 999999
+# Reserved identities: customers are positive and invoices start with a digit or a C and digits, however large the data.
+CONTROL_CUSTOMER = -999_999
 CONTROL_COUNTRY = "Controlled Evaluation Country"
-FIRST_INVOICE = 9_000_000
+CONTROL_INVOICE = "CONTROL-"
 SCENARIOS = ["country", "product", "customer"]
 
 
@@ -115,7 +116,7 @@ def inject_member_rows(targets: DataFrame) -> DataFrame:
     hours = F.posexplode(F.array(*[F.lit(h) for h in SHOCK_HOURS])).alias("_i", "hour")
     return targets.select("*", hours).select(
         "date", "scenario", "hour",
-        (F.col("_i") + FIRST_INVOICE).cast("string").alias("invoice"),
+        F.concat(F.lit(CONTROL_INVOICE), F.col("_i").cast("string")).alias("invoice"),
         member("product", "stock_code", F.concat(F.lit(CONTROL_CODE), F.upper("scenario"))).alias("stock_code"),
         member("product", "description", F.lit(CONTROL_DESCRIPTION)).alias("description"),
         F.lit(1).cast("bigint").alias("quantity"),

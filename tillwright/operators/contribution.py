@@ -49,22 +49,28 @@ def _best_first(members: list[str]) -> list[Column]:
     return [F.desc("revenue"), *[F.asc_nulls_last(m) for m in members]]
 
 
+def _measured(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Revenue (also as the exact sum that totals are made of), units and orders per key."""
+    return rows.groupBy(*keys).agg(
+        F.sum("revenue").alias("_exact"),
+        money(F.sum("revenue")).alias("revenue"),
+        zero_if_null(F.sum("quantity")).alias("units_sold"),
+        F.count_distinct("invoice").alias("orders"),
+    )
+
+
 def contribution(lines: DataFrame, dimension: str, top_n: int = 10, by: Keys = ("date",)) -> DataFrame:
     """Top members of a dimension per day by revenue, with units, orders and the percentage of the day.
 
     Shares refer to the whole day, for customers to the revenue of identified customers; a day without
-    revenue has share 0. Totals come from their own small aggregate instead of a window over all members of
-    a day, and the constant rank limit is applied inside each task before the shuffle, so a day that holds a
-    large part of all lines is never gathered.
+    revenue has share 0. The lines are read once: measures per member are staged, and totals are the sums of their
+    exact revenues. The constant rank limit is applied inside each task before the shuffle, so a day that holds a
+    large part of all members is never gathered.
     """
     members = MEMBERS[dimension]
     rows = lines.filter(F.col("customer_id").isNotNull()) if dimension == "customer" else lines
-    measures = rows.groupBy(*by, *members).agg(
-        money(F.sum("revenue")).alias("revenue"),
-        zero_if_null(F.sum("quantity")).alias("units_sold"),
-        F.count_distinct("invoice").alias("orders"),
-    )
-    totals = rows.groupBy(*by).agg(money(F.sum("revenue")).alias("_whole"))
+    measures = stage(_measured(rows, [*by, *members]), "members")
+    totals = measures.groupBy(*by).agg(money(F.sum("_exact")).alias("_whole"))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*_best_first(members)))
     top = measures.withColumn("rank", place).filter(F.col("rank") <= top_n)
     return (
@@ -114,12 +120,8 @@ def all_contributions(
     members = F.array_compact(F.array(*[member(d) for d in MEMBERS]))
     long = lines.select(*by, "invoice", "quantity", "revenue", F.inline(members))
     groups = [*by, "dimension"]
-    measures = long.groupBy(*groups, *MEMBER_TYPES).agg(
-        money(F.sum("revenue")).alias("revenue"),
-        zero_if_null(F.sum("quantity")).alias("units_sold"),
-        F.count_distinct("invoice").alias("orders"),
-    )
-    totals = long.groupBy(*groups).agg(money(F.sum("revenue")).alias("_whole"))
+    measures = stage(_measured(long, [*groups, *MEMBER_TYPES]), "members")
+    totals = measures.groupBy(*groups).agg(money(F.sum("_exact")).alias("_whole"))
     hours = top_n if hour_top_n is None else hour_top_n
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(*_best_first(list(MEMBER_TYPES))))
     top = measures.withColumn("rank", place).filter(F.col("rank") <= max(top_n, hours))

@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-# Below this size a scan may sit in fewer row groups than there are cores.
-SMALL_SCAN_BYTES = 256 * 1024 * 1024
-
-
 @cache
 def _schema(path: str, session: str) -> StructType:
     """Footer schema of a table, read once per session instead of once per query."""
@@ -29,11 +25,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Hash a small scan over all cores; larger ones already have a task per split and are left as they are."""
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= SMALL_SCAN_BYTES:
-        return scan
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, *keys)
+    """Deal out a scan that has fewer splits than there are cores, as spark.sql.files.minPartitionNum would if it
+    could split a row group. Tables stored in more splits than cores are never moved, whatever their size."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
