@@ -10,10 +10,13 @@ from tillwright.plans.staging import shared_path
 from tillwright.sources import star
 from tillwright.sources.transactions import (
     FILE_COLUMNS,
+    check_format,
     load_audit,
     manifest_upsert,
     read_transactions,
+    require_columns,
     union_sources,
+    unparseable_values,
     write_clean,
 )
 
@@ -42,6 +45,56 @@ register(
 )
 
 
+def _mixed_files(spark, folder):
+    """Raw lines, prices with three decimals, as two CSV files whose columns stand in different order and a JSON file."""
+    path = shared_path(spark, "mixed")
+    names = {ours: theirs for theirs, ours in FILE_COLUMNS.items()}
+    lines = raw(spark, folder).withColumn("price", F.col("price") + F.lit("0.001").cast("decimal(4,3)"))
+    dated = lines.withColumn("invoice_ts", F.date_format("invoice_ts", "M/d/yyyy H:mm:ss"))
+    third = F.pmod(F.xxhash64("invoice"), F.lit(3))
+    for at, suffix in enumerate(("csv", "csv", "json")):
+        part = dated.filter(third == at).withColumnsRenamed(names)
+        columns = part.columns[::-1] if at else part.columns
+        writer = part.select(*columns).write
+        if suffix == "csv":
+            writer.csv(f"{path}-{at}.csv", header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+        else:
+            writer.json(f"{path}-{at}.json")
+    return [f"{path}-0.csv", f"{path}-1.csv", f"{path}-2.json"]
+
+
+register(
+    "read_transactions_mixed", LINE, lambda spark, folder: read_transactions(spark, _mixed_files(spark, folder)),
+    "SELECT * REPLACE (price + 0.001 AS price) FROM raw", views="raw",
+)
+
+
+def _refused(call) -> bool:
+    try:
+        call()
+    except (ValueError, FileNotFoundError):
+        return True
+    return False
+
+
+def _input_checks(spark, folder):
+    """Which inputs are refused: a foreign suffix, a missing path, lines without a required column."""
+    lines = raw(spark, folder)
+    return lines.agg(F.count(F.lit(1)).alias("rows")).select(
+        "rows", F.lit(_refused(lambda: check_format("lines.xlsx"))).alias("foreign_suffix"),
+        F.lit(_refused(lambda: read_transactions(spark, shared_path(spark, "absent") + ".csv"))).alias("missing_path"),
+        F.lit(_refused(lambda: require_columns(lines.drop("price", "country")))).alias("missing_columns"),
+        F.lit(_refused(lambda: require_columns(lines))).alias("complete_lines"),
+    )
+
+
+register(
+    "input_checks", "rows:n foreign_suffix:b missing_path:b missing_columns:b complete_lines:b", _input_checks,
+    "SELECT count(*) AS rows, true AS foreign_suffix, true AS missing_path, true AS missing_columns, false AS complete_lines FROM raw",
+    views="raw",
+)
+
+
 def _parts(spark, folder):
     lines = raw(spark, folder)
     early = lines.filter(F.col("invoice_ts") < F.lit("1998-01-01").cast("timestamp_ntz"))
@@ -217,6 +270,14 @@ register(
  CASE WHEN quantity <> 19 THEN invoice_ts END AS invoice_ts, customer_id FROM raw""",
     views="raw",
 )
+register(
+    "unparseable_values", "field:s n:n",
+    lambda spark, folder: unparseable_values(_text(spark, folder), cleaning.coerce_types(_text(spark, folder)))
+    .withColumnsRenamed({"column": "field", "values": "n"}),
+    """SELECT unnest(['quantity', 'price', 'invoice_ts', 'customer_id']) AS field,
+ unnest([count(*) FILTER (WHERE quantity = 13), 0, count(*) FILTER (WHERE quantity = 19), 0]) AS n FROM raw""",
+    views="raw",
+)
 register(
     "drop_exact_duplicates", LINE, on_raw(cleaning.drop_exact_duplicates), "SELECT DISTINCT * FROM raw", views="raw"
 )
