@@ -125,13 +125,21 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def training_profiles(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
-    """(lang, profile) of the drawn documents; the rank limit per language is taken inside the tasks first."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("language"), "id"), "id")
-    drawn = (
+    """(lang, profile) of the drawn documents.
+
+    Languages are counted first; only ids whose hash falls into the lowest few times ``per_language`` of a language
+    are ranked, so that a language with most of the documents doesn't fill one task.
+    """
+    draw = F.xxhash64(F.lit("language"), "id")
+    eligible = (
         docs.filter("doc_id is not null and lang is not null and text is not null")
         .select(F.col("doc_id").cast("bigint").alias("id"), "lang").filter(~is_held_out(F.col("id")))
-        .withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("id", "lang")
     )
+    sizes = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    place = F.shiftrightunsigned(draw, 40) / F.lit(1 << 24)
+    low = eligible.join(sizes, "lang").filter(place < F.lit(3.0 * per_language + 100) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(draw, 40), draw, "id")
+    drawn = low.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("id", "lang")
     schema = pa.schema([("lang", pa.string()), ("profile", pa.binary())])
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
