@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tillwright.llm import decontaminate, simhash_trie, sketch
+from tillwright.llm import decontaminate, likeness, simhash_trie, sketch
 from tillwright.llm.components import component_roots
 
 
@@ -148,6 +148,43 @@ def test_near_duplicates(spark, documents, no_documents):
     assert simhash_trie.keep_one_per_group(no_documents).count() == 0
 
 
+def five_word_sets(text: str) -> set:
+    words = re.findall(r"\w+", text.lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("sample, common", [(16, 8), (1, 3)])
+def test_stage_keeps_no_text_alike_in_five_words(spark, monkeypatch, sample, common):
+    """Edited copies whose fingerprints differ in more than 3 bits; chains, a common line, other texts of equal size."""
+    monkeypatch.setattr(likeness, "SAMPLE", sample)
+    monkeypatch.setattr(likeness, "COMMON", common)
+    rng = random.Random(11)
+    line = "all rights reserved by the people who wrote this page".split()
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(5_000)}" for _ in range(rng.choice([8, 40, 90]))] + line
+        texts.append(" ".join(words))
+        for _ in range(6):
+            words = list(words)
+            for _ in range(rng.choice([1, 1, 2])):
+                words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+            texts.append(", ".join(words).capitalize())
+    texts += ["", "?!", "a b c", "A, b c", texts[0]]
+    sets, prints = [five_word_sets(t) for t in texts], [brute_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for a in [*range(len(texts))] * 2:
+        for b in range(len(texts)):
+            alike = sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+            if (alike or (prints[a] ^ prints[b]).bit_count() <= 3) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    far = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() > 3 and root[a] == root[b]]
+    assert len(far) > 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = simhash_trie.keep_one_per_group(docs)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 def paragraphs(text: str) -> set[str]:
     return {p for p in re.split(sketch.PARAGRAPH_END, text) if p.strip(" ")}
 

@@ -1,0 +1,172 @@
+"""Links between texts whose five-word shingles have a Jaccard similarity of 0.8 or more, all of them, by prefix filtering.
+
+Two sets this alike share one of the first ``n - ceil(0.8 n) + 1`` shingles of each in any common order (Chaudhuri,
+Ganti and Kaushik, 2006). Shingles that a sample of the texts finds common come last in the order, which keeps the
+lists of texts with one shingle short; the sample decides the work only, never the links.
+
+Links are to connect, so not every pair of a list is looked at: first each text and the least of its list, then the
+texts of a list that are not in one component yet. All candidates are compared by their whole sets.
+
+Words are runs of letters, digits and underscores in lower case; a text of fewer than five is one shingle, a text
+without words is like no other.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tillwright.llm.common import in_chunks, stage_compressed, texts_of, whole_text
+from tillwright.plans.staging import broadcast_if_small
+
+WORDS = 5
+WORD = re.compile(r"\w+")
+# One of so many texts is sampled for common shingles; those in so many sampled texts are moved to the end of the order.
+SAMPLE, COMMON = 16, 8
+# Most shingles that are moved; more of them are taken like any other, at the price of longer lists.
+MOVED = 50_000
+REMEMBERED_WORDS = 200_000
+_FACTORS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in range(WORDS)]
+
+
+class Shingler:
+    """Distinct shingle hashes of texts, sorted; hashes of words are kept for the next texts."""
+
+    def __init__(self):
+        self.words: dict[str, int] = {}
+
+    def _hash(self, word: str) -> int:
+        if (known := self.words.get(word)) is None:
+            known = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
+            if len(self.words) < REMEMBERED_WORDS:
+                self.words[word] = known
+        return known
+
+    def __call__(self, text: str) -> np.ndarray:
+        words = WORD.findall(text.lower())
+        if not words:
+            return np.zeros(0, np.uint64)
+        own = np.fromiter(map(self._hash, words), np.uint64, len(words))
+        width = min(WORDS, len(words))
+        total = np.zeros(len(words) - width + 1, np.uint64)
+        for k in range(width):
+            total += own[k : k + len(total)] * _FACTORS[k]
+        total ^= total >> np.uint64(31)
+        total *= np.uint64(0x94D049BB133111EB)
+        return np.unique(total ^ (total >> np.uint64(29)))
+
+
+def text_key() -> Column:
+    """By which equal texts are one."""
+    return F.xxhash64(whole_text())
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """(key, shingles) of rows ``key, text``."""
+    schema = pa.schema([("key", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler()
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            rows = ((k, shingler(t).view(np.int64)) for k, t in zip(keys, texts_of(batch), strict=True))
+            yield from in_chunks(rows, schema, 500)
+
+    return texts.select("key", "text").mapInArrow(take, "key bigint, shingles array<bigint>")
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """Shingles of many texts, from the rarest to the most common of the sample."""
+    sampled = _sets(texts.filter(F.pmod("key", F.lit(SAMPLE)) == 0)).dropDuplicates(["key"])
+    counted = sampled.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(MOVED).toArrow()
+    return rows.column("shingle").to_numpy().astype(np.int64).view(np.uint64)[::-1].copy()
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles of a set of which a set alike to 0.8 has one among its own. ``common`` is sorted."""
+    length = len(shingles) - (4 * len(shingles) + 4) // 5 + 1
+    if not len(shingles) or not len(common):
+        return shingles[:length]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    moved = common[at] == shingles
+    last = shingles[moved]
+    return np.concatenate([shingles[~moved], last[np.argsort(ranks[at[moved]])]])[:length]
+
+
+def prefixes(texts: DataFrame, moved: np.ndarray) -> DataFrame:
+    """(key, n, prefix) per distinct text, from rows ``key, text``."""
+    order = np.argsort(moved)
+    shared = texts.sparkSession.sparkContext.broadcast((moved[order], order))
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, (common, ranks) = Shingler(), shared.value
+
+        def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for key, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
+                if len(found := shingler(text)):
+                    yield key, len(found), prefix(found, common, ranks).view(np.int64)
+
+        for batch in batches:
+            yield from in_chunks(rows(batch), schema, 500)
+
+    found = texts.select("key", "text").mapInArrow(take, "key bigint, n int, prefix array<bigint>")
+    return stage_compressed(found.dropDuplicates(["key"]), "prefixes")
+
+
+def shared_prefixes(sets: DataFrame) -> DataFrame:
+    """(shingle, key, n, least, least_n) where several texts have the shingle in their prefix."""
+    postings = sets.select("key", "n", F.explode("prefix").alias("shingle"))
+    lists = stage_compressed(
+        postings.groupBy("shingle")
+        .agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("key", "n")).alias("least"))
+        .filter("texts > 1").select("shingle", F.col("least.key").alias("least"), F.col("least.n").alias("least_n")),
+        "shared-shingles",
+    )
+    return stage_compressed(postings.join(broadcast_if_small(lists), "shingle"), "shared-prefixes")
+
+
+def _fitting(n: Column, m: Column) -> Column:
+    """Whether sets of these sizes can be alike."""
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of text keys whose whole sets are alike."""
+    pairs = stage_compressed(pairs.distinct(), "pairs")
+    needed = stage_compressed(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "compared")
+    sets = stage_compressed(
+        _sets(texts.join(broadcast_if_small(needed), "key", "left_semi")).dropDuplicates(["key"]), "sets"
+    )
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    same = F.size(F.array_intersect("x", "y"))
+    return stage_compressed(both.filter(same * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b"), "alike")
+
+
+def first_links(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of texts with the least text of a list."""
+    pairs = shared.filter((F.col("key") != F.col("least")) & _fitting(F.col("n"), F.col("least_n")))
+    return alike(pairs.select(F.col("least").alias("a"), F.col("key").alias("b")), texts)
+
+
+def other_links(shared: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of texts of a list that are in different components so far; ``roots`` has (key, root)."""
+    placed = stage_compressed(shared.select("shingle", "key", "n", "least").join(roots, "key"), "placed")
+    split = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    open_lists = stage_compressed(placed.join(split.select("shingle"), "shingle", "left_semi"), "open-lists")
+    left, right = (open_lists.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "root", "least")])
+                   for side in "ab")
+    pairs = left.join(right, "shingle").filter(
+        (F.col("a_key") < F.col("b_key")) & (F.col("a_root") != F.col("b_root")) & _fitting(F.col("a_n"), F.col("b_n"))
+        & (F.col("a_key") != F.col("a_least"))  # those with the least have been compared
+    )
+    return alike(pairs.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), texts)
