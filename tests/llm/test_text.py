@@ -115,3 +115,22 @@ def test_tree_matching_is_maximal(left, right):
     pairs = wrapper.tree_match(a, b)
     assert len(pairs) == best_match(a, b)
     assert all(x.label == y.label for x, y in pairs)
+
+
+BODY = "<h1>Title</h1><p>The whole story of the day.</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f'<html><body class="right-sidebar"><nav>Home</nav>{BODY}</body></html>',
+    f'<html class="no-ads"><body class="home no-sidebar"><article>{BODY}</article><div class="sidebar">Side</div></body></html>',
+    f'<body><div class="has-header"><header>Site</header>{BODY}</div><div class="sidebar">Side</div></body>',
+    f'<body><div class="layout--with-sidebar"><div>{BODY}</div><aside>Side</aside></div></body>',
+    f'<body><form id="aspnetForm"><input value="x"><select><option>One</select><div>{BODY}</div><button>Go</button></form></body>',
+    f'<body><form class="page"><main class="widget">{BODY}</main></form><div class="ad">Buy</div></body>',
+    f'<body><div class="right-sidebar"><article class="has-share">{BODY}</article><div class="sidebar">Side</div></div></body>',
+    f'<body><div class="widget"><article>{BODY}</article></div><p>Some words outside which are rather long, longer than the story.</p></body>',
+    f'<body><article>{BODY}<section class="comments"><p>{"I agree. " * 30}</p></section></article></body>',
+    f'<body><article>{BODY}</article><div class="related"><article>Other story</article></div><form>Your name <input></form></body>',
+])
+def test_layout_containers_are_not_aside(page):
+    assert wrapper.main_text(parse(page), set()) == "Title The whole story of the day."

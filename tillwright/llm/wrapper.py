@@ -45,6 +45,10 @@ ASIDE_WORD = re.compile(
     r"modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
     r"sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
 )
+# Class words that say what an element comes with or without, not what it is.
+MODIFIER = re.compile(r"(?:^|(?<=\s))(?:[^\s]*[_-])?(?:has|no|with|without)[_-]\S*")
+# Reader comments stay aside however long they are.
+COMMENT_WORD = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|replies|respond)(?:$|[\s_-])")
 MAIN_TAGS = ("article", "main")
 
 
@@ -54,7 +58,47 @@ def host_of(url: Column) -> Column:
 
 
 def _is_aside(node: Node) -> bool:
-    return node.tag in ASIDE_TAGS or bool(node.text and ASIDE_WORD.search(node.text))
+    return node.tag in ASIDE_TAGS or bool(node.text and ASIDE_WORD.search(MODIFIER.sub(" ", node.text)))
+
+
+def _is_main(node: Node) -> bool:
+    return node.tag in MAIN_TAGS or node.text == "main" and node.tag != "#text"
+
+
+def _layout_elements(root: Node, template: set[int]) -> tuple[set[int], set[int]]:
+    """Ids of elements that hold the page whatever they are called, and of those that are or hold an article.
+
+    The first are html, body, what is or holds a main element, and forms or elements with a telling class that hold
+    more than half of the text that isn't template. Elements that a name of HTML or a class of comments sets aside are
+    not among them for their text alone.
+    """
+    order, pending = [], [(root, -1)]
+    while pending:
+        node, parent = pending.pop()
+        pending += [(child, len(order)) for child in node.children]
+        order.append((node, parent))
+    sizes, mains, articles = [0] * len(order), [False] * len(order), [False] * len(order)
+    for at in range(len(order) - 1, -1, -1):
+        node, parent = order[at]
+        if node.tag == "#text":
+            sizes[at] = 0 if id(node) in template else len(node.text.strip())
+        elif _is_main(node):
+            articles[at] = True
+            mains[at] |= node.tag != "article"
+        if parent >= 0:
+            sizes[parent] += sizes[at]
+            mains[parent] |= mains[at]
+            articles[parent] |= articles[at]
+    layout, holding = set(), set()
+    for (node, _), size, main, article in zip(order, sizes, mains, articles, strict=True):
+        if article:
+            holding.add(id(node))
+        if node.tag in ("html", "body") or main:
+            layout.add(id(node))
+        elif 2 * size > sizes[0] and node.tag != "#text" and (node.tag == "form" or node.tag not in ASIDE_TAGS):
+            if not COMMENT_WORD.search(node.text):
+                layout.add(id(node))
+    return layout, holding
 
 
 def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -160,17 +204,28 @@ def agreeing_slots(page: Node, reference: Node, numbers: dict[int, int]) -> Iter
 
 def main_text(root: Node, template: set[int]) -> str:
     """Blocks of the article in page order. ``template`` has ids of text nodes that belong to the template; a block
-    goes only if all its text does."""
-    found: list[Node] = []
-    pending = [root]
-    while pending:
-        node = pending.pop()
-        if node.tag in MAIN_TAGS or node.text == "main" and node.tag != "#text":
-            if not _is_aside(node):
-                found.append(node)
-            continue
-        if not _is_aside(node) and node.tag != "#text":
-            pending += reversed(node.children)
+    goes only if all its text does. Of a form that wraps the page only the controls go."""
+    layout, holding = _layout_elements(root, template)
+
+    def aside(node: Node) -> bool:
+        return id(node) not in layout and _is_aside(node)
+
+    def mains() -> list[Node]:
+        found, pending = [], [root]
+        while pending:
+            node = pending.pop()
+            if _is_main(node):
+                if not aside(node):
+                    found.append(node)
+            elif node.tag != "#text" and not aside(node):
+                pending += reversed(node.children)
+        return found
+
+    found = mains()
+    if not found and holding:
+        # All articles are inside of something set aside, which is the page's frame then.
+        layout |= holding
+        found = mains()
     blocks, current = [], []
 
     def close() -> None:
@@ -188,7 +243,7 @@ def main_text(root: Node, template: set[int]) -> str:
                 current.append((node.text, id(node) in template or not node.text.strip()))
             elif node.tag == "br":
                 current.append((" ", True))
-            elif node is start or not _is_aside(node):
+            elif node is start or not aside(node):
                 if node.tag in BLOCK:
                     close()
                     walk.append(None)
