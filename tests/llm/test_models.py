@@ -84,6 +84,17 @@ def test_quality_edge_cases(spark, documents, no_documents):
     assert quality.grade_documents(no_documents, model).count() == 0
 
 
+def test_samples_stay_bounded_when_ids_repeat(spark):
+    ids = [n for n in range(60) if zlib.crc32(str(n).encode()) % 4 != 2]
+    rows = [(n, f"text number {n} and copy {k}", "en") for n in ids for k in range(6 if n == ids[0] else 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for most, want in ((10, 10), (1_000, len(ids))):
+        assert language.training_profiles(docs, most).count() == want
+    labels = spark.createDataFrame([(n, 1, 0) for n in ids for _ in range(4)] + [(ids[0], 0, 0)], "doc_id bigint, quality int, toxic int")
+    for most, want in ((10, 10), (1_000, len(ids))):
+        assert quality.training_rows(docs, labels, most).count() == want
+
+
 def test_fit_recovers_an_ordered_signal():
     rng = np.random.default_rng(3)
     grades = rng.integers(0, 3, 600)

@@ -127,13 +127,13 @@ def is_held_out(doc_id: Column) -> Column:
 def training_profiles(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """(lang, profile) of the drawn documents.
 
-    Languages are counted first; only ids whose hash falls into the lowest few times ``per_language`` of a language
+    Rows that repeat an id and a language are one draw. Languages are counted first; only ids whose hash falls into the lowest few times ``per_language`` of a language
     are ranked, so that a language with most of the documents doesn't fill one task.
     """
     draw = F.xxhash64(F.lit("language"), "id")
     eligible = (
         docs.filter("doc_id is not null and lang is not null and text is not null")
-        .select(F.col("doc_id").cast("bigint").alias("id"), "lang").filter(~is_held_out(F.col("id")))
+        .select(F.col("doc_id").cast("bigint").alias("id"), "lang").filter(~is_held_out(F.col("id"))).distinct()
     )
     sizes = eligible.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.shiftrightunsigned(draw, 40) / F.lit(1 << 24)
@@ -151,8 +151,9 @@ def training_profiles(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary())], schema=schema)
 
     texts = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("id"), F.col("lang").alias("own"), "text")
-    # At most ``per_language`` ids per language.
+    # At most ``per_language`` ids per language, and of rows that repeat an id and language the one with the greatest text.
     joined = texts.join(F.broadcast(drawn), "id").filter(F.col("own") == F.col("lang"))
+    joined = joined.groupBy("id", "lang").agg(F.max("text").alias("text"))
     return joined.select("lang", "text").mapInArrow(profile, "lang string, profile binary")
 
 

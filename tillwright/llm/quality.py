@@ -161,12 +161,16 @@ def fit(documents: list[np.ndarray], grades: np.ndarray, penalty: float = PENALT
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> DataFrame:
-    """(grade, features) of at most ``most`` labelled documents, drawn by a hash of their id."""
+    """(grade, features) of at most ``most`` labelled documents, drawn by a hash of their id.
+
+    Labels that repeat an id count once, with the worst grade; of documents that repeat it the greatest text is taken.
+    """
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     drawn = (
         labels.filter("doc_id is not null and quality is not null and toxic is not null")
         .select(F.col("doc_id").cast("bigint").alias("id"), grade.alias("grade"))
-        .orderBy(F.xxhash64(F.lit("quality"), "id"), "id", "grade").limit(most)
+        .groupBy("id").agg(F.min("grade").alias("grade"))
+        .orderBy(F.xxhash64(F.lit("quality"), "id"), "id").limit(most)
     )
     schema = pa.schema([("grade", pa.int32()), ("features", pa.list_(pa.int64()))])
 
@@ -177,7 +181,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 
     # The drawn ids are bounded by ``most``.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), whole_text().alias("text"))
-    joined = texts.join(F.broadcast(drawn), "id").select("grade", "text")
+    joined = texts.join(F.broadcast(drawn), "id").groupBy("id", "grade").agg(F.max("text").alias("text")).select("grade", "text")
     return joined.mapInArrow(extract, "grade int, features array<bigint>")
 
 
