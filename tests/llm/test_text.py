@@ -117,6 +117,30 @@ def test_tree_matching_is_maximal(left, right):
     assert all(x.label == y.label for x, y in pairs)
 
 
+def flat_page(n: int, blocks: int) -> str:
+    """A long page of mixed siblings whose order differs, with a notice without a telling class in the middle."""
+    tags = ["p", "h2", "ul", "pre"]
+    parts = [f"<{(t := tags[(i * i + n * i + i // 7) % 4])}>text {i} of page {n}</{t}>" for i in range(blocks)]
+    return f"<body><i>{n}</i>{''.join(parts[: blocks // 2])}<section>{"<p>Same on all.</p>" * 40}</section>{''.join(parts[blocks // 2 :])}<b>{n}</b></body>"
+
+
+@pytest.mark.parametrize("cells", [0, 3, 50])
+def test_long_lists_are_aligned_as_well_as_short_ones(monkeypatch, cells):
+    monkeypatch.setattr(wrapper, "TABLE_CELLS", cells)
+    for n in range(4):
+        a, b = parse(flat_page(n, 30)), parse(flat_page(n + 5, 22 + n))
+        pairs = wrapper.tree_match(a, b)
+        assert len(pairs) == best_match(a, b) and len({id(y) for _, y in pairs}) == len(pairs)
+        assert all(x.label == y.label for x, y in pairs)
+
+
+def test_template_in_the_middle_of_a_long_page(spark):
+    rows = [(n, f"https://a.example/{n}", flat_page(n, 900 + n)) for n in range(6)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages).collect()}
+    assert all("Same on all" not in text and f"text 450 of page {n}" in text and f"text 5 of page {n}" in text for n, text in texts.items())
+
+
 BODY = "<h1>Title</h1><p>The whole story of the day.</p>"
 
 

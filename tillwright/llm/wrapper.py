@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,8 +35,8 @@ from tillwright.plans.skew import join_key_facts
 REFERENCES = 2
 # A slot is template if this share of the host's distinct pages, and at least so many pages, hold the same text in it.
 CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
-# Larger sibling lists than this are aligned by their common start and end alone.
-ALIGNED_CHILDREN = 400
+# Tables of more cells than this are not kept for alignment; halves of the list are aligned on their own then.
+TABLE_CELLS = 160_000
 BROADCAST_HOSTS = 2_000
 
 # Element names and words in class, id or role that mark what is not the article.
@@ -108,6 +109,7 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     both ends pair off first.
     """
     pairs, pending, sizes = [], [(a, b)], {}
+    shapes, numbers = {}, {}
 
     def score(x: Node, y: Node) -> int:
         if x.label != y.label:
@@ -117,6 +119,69 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             sizes[key] = 1 + (_aligned(x.children, y.children)[0] if x.children and y.children else 0)
         return sizes[key]
 
+    def _table(inner: list[Node], other: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+        best = [[0] * (len(other) + 1) for _ in range(len(inner) + 1)]
+        for i, x in enumerate(inner):
+            row, above = best[i + 1], best[i]
+            for j, y in enumerate(other):
+                gain = score(x, y) if x.label == y.label else 0
+                row[j + 1] = max(row[j], above[j + 1], above[j] + gain if gain else 0)
+        i, j, middle = len(inner), len(other), []
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                middle.append((inner[i], other[j]))
+        return best[-1][-1], middle[::-1]
+
+    def shape(node: Node) -> int:
+        """Equal for subtrees of equal labels, which score alike."""
+        if id(node) not in shapes:
+            key = (node.label, *map(shape, node.children))
+            shapes[id(node)] = numbers.setdefault(key, len(numbers))
+        return shapes[id(node)]
+
+    def _middle(inner: list[Node], other: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
+        """The best alignment of two lists; long ones are halved where it passes (Hirschberg, 1975), a row in memory."""
+        if len(inner) * len(other) <= TABLE_CELLS:
+            return _table(inner, other)
+        rows, columns = [np.unique([shape(x) for x in nodes], return_index=True, return_inverse=True) for nodes in (inner, other)]
+        kinds = [[score(inner[i], other[j]) for j in columns[1]] for i in rows[1]]
+        gains = np.array(kinds, np.int64).reshape(len(rows[1]), len(columns[1]))[:, columns[2]]
+
+        def last_row(span: range, low: int, high: int, step: int) -> np.ndarray:
+            best = np.zeros(high - low + 1, np.int64)
+            for i in span:
+                gain = gains[rows[2][i], low:high][::step]
+                best[1:] = np.maximum(best[1:], np.where(gain > 0, best[:-1] + gain, 0))
+                np.maximum.accumulate(best, out=best)
+            return best
+
+        total, found, spans = 0, [], [(0, len(inner), 0, len(other))]
+        while spans:
+            top, bottom, low, high = spans.pop()
+            if top == bottom or low == high:
+                continue
+            if bottom - top > 1 and (bottom - top) * (high - low) > TABLE_CELLS:
+                half = (top + bottom) // 2
+                upper = last_row(range(top, half), low, high, 1)
+                lower = last_row(range(bottom - 1, half - 1, -1), low, high, -1)[::-1]
+                at = low + int((upper + lower).argmax())
+                spans += [(half, bottom, at, high), (top, half, low, at)]
+            elif bottom - top == 1:
+                row = gains[rows[2][top], low:high]
+                if row.max() > 0:
+                    total += int(row.max())
+                    found.append((inner[top], other[low + int(row.argmax())]))
+            else:
+                gained, pairs = _table(inner[top:bottom], other[low:high])
+                total += gained
+                found += pairs
+        return total, found
+
     def _aligned(left: list[Node], right: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
         start = 0
         while start < min(len(left), len(right)) and left[start].label == right[start].label:
@@ -128,24 +193,10 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
         tail = list(zip(left[len(left) - end :], right[len(right) - end :], strict=True))
         total = sum(score(x, y) for x, y in matched + tail)
         inner, other = left[start : len(left) - end], right[start : len(right) - end]
-        if inner and other and max(len(inner), len(other)) <= ALIGNED_CHILDREN:
-            best = [[0] * (len(other) + 1) for _ in range(len(inner) + 1)]
-            for i, x in enumerate(inner):
-                row, above = best[i + 1], best[i]
-                for j, y in enumerate(other):
-                    gain = score(x, y) if x.label == y.label else 0
-                    row[j + 1] = max(row[j], above[j + 1], above[j] + gain if gain else 0)
-            i, j, middle = len(inner), len(other), []
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    middle.append((inner[i], other[j]))
-            total += best[-1][-1]
-            matched += reversed(middle)
+        if inner and other:
+            gained, middle = _middle(inner, other)
+            total += gained
+            matched += middle
         return total, matched + tail
 
     while pending:
