@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tillwright.llm import likeness
 from tillwright.llm.common import stage_compressed, whole_text
 from tillwright.llm.components import component_roots
 from tillwright.plans.staging import broadcast_if_small
@@ -209,34 +208,10 @@ def trie_links(
     )
 
 
-def _also_alike(links: DataFrame, own: DataFrame, docs: DataFrame) -> DataFrame:
-    """``links`` of fingerprints and those of texts with alike five-word shingles, connected: (node, root).
-
-    ``own`` has (bits, key) per row of ``docs``.
-    """
-    texts = docs.select(likeness.text_key().alias("key"), whole_text().alias("text"))
-    named = stage_compressed(own.select("key", "bits").distinct(), "named-texts")
-
-    def in_bits(pairs: DataFrame) -> DataFrame:
-        ends = [named.select(F.col("key").alias(end), F.col("bits").alias(f"{end}_bits")) for end in ("a", "b")]
-        joined = pairs.join(ends[0], "a").join(ends[1], "b")
-        return joined.select(F.col("a_bits").alias("a"), F.col("b_bits").alias("b"))
-
-    shared = likeness.shared_prefixes(likeness.prefixes(texts, likeness.common_shingles(texts)))
-    roots = component_roots(links.unionByName(in_bits(likeness.first_links(shared, texts))))
-    by_key = named.join(roots, named["bits"] == roots["node"], "left").select("key", F.coalesce("root", "bits").alias("root"))
-    more = in_bits(likeness.other_links(shared, by_key, texts))
-    return component_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-
-def components_of(fingerprints: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """(bits, root, component_id) per distinct fingerprint of a staged table ``doc_id, bits``.
-
-    With ``docs``, texts with alike five-word shingles are linked too; the table needs their ``key`` then.
-    """
+def components_of(fingerprints: DataFrame) -> DataFrame:
+    """(bits, root, component_id) per distinct fingerprint of a staged table ``doc_id, bits``."""
     nodes = stage_compressed(fingerprints.groupBy("bits").agg(F.min("doc_id").alias("first_doc")), "fingerprints")
-    links = trie_links(nodes)
-    roots = component_roots(links) if docs is None else _also_alike(links, fingerprints, docs)
+    roots = component_roots(trie_links(nodes))
     rooted = stage_compressed(
         nodes.join(roots, nodes["bits"] == roots["node"], "left")
         .select("bits", "first_doc", F.coalesce("root", "bits").alias("root")),
@@ -257,14 +232,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with one row left of each component: the one with the smallest id.
 
-    Texts are linked by their fingerprints and also where their five-word shingles are alike to 0.8 (``likeness``),
-    however many bits of their fingerprints differ. Rows that repeat that id inside the component leave the first of them by text and the other columns.
+    Components are those of ``near_duplicates``: three-word shingles, at most ``BUDGET`` differing bits, nothing else.
+    Rows that repeat that id inside the component leave the first of them by text and the other columns.
     """
     bits = fingerprint_column(whole_text())
-    own = stage_compressed(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bits.alias("bits"), likeness.text_key().alias("key")), "simhash"
-    )
-    groups = stage_compressed(components_of(own, docs), "groups")
+    own = stage_compressed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), bits.alias("bits")), "simhash")
+    groups = stage_compressed(components_of(own), "groups")
     # Only rows whose id names their group come into question; the text is moved for them alone.
     chosen = (
         own.join(groups, "bits").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
