@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import chat, decontaminate, edit_counts, language, packing, quality, simhash_trie, sketch, token_shards, wrapper
-from tillwright.llm.common import stage_compressed, table
+from tillwright.llm import chat, decontaminate, edit_counts, language, packing, quality, runs, simhash_trie, sketch, token_shards, wrapper
+from tillwright.llm.common import stage_compressed, table, whole_text
 from tillwright.plans.staging import shared_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -109,6 +109,35 @@ def op7_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edit_counts.apply_edits(trees.withColumn("edits", edits), vocabulary)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one text in ten is made periodic from some word on, by a rule on the id's checksum."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    drawn = (
+        docs.select("doc_id", whole_text().alias("text"), h.alias("h"))
+        .withColumn("words", F.when(F.col("h") % 10 == 0, words))
+        .withColumn("a", F.expr("h div 10 % size(words)"))
+        .withColumn("p", F.expr("1 + (size(words) - a) div (3 + h div 10 % 8)"))
+    )
+    changed = F.transform("words", lambda word, i: F.when(i < F.col("a"), word).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return drawn.select("doc_id", F.when(F.size("words") > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in all documents, and digests of the runs and of the texts without their repeats."""
+    found = runs.collapse_runs(with_planted_runs(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "runs", longest.alias("longest"), lines.alias("lines"), "text").select(
+        "doc_id", "n_runs", (-F.col("longest.back")).alias("start"), F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 ORACLE_SQL["op3_chat_round_trip"] = """
 WITH rows AS (
  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
