@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.llm import chat, decontaminate, edit_counts, language, packing, quality, runs, simhash_trie, sketch, token_shards, wrapper
+from tillwright.llm import chat, decontaminate, edit_counts, language, packing, quality, runs, simhash_trie, sketch, substrings, token_shards, wrapper
 from tillwright.llm.common import stage_compressed, table, whole_text
 from tillwright.plans.staging import shared_path
 
@@ -109,6 +109,16 @@ def op7_edited_counts(spark: SparkSession, folder: str) -> DataFrame:
     return edit_counts.apply_edits(trees.withColumn("edits", edits), vocabulary)
 
 
+@query
+def op11_fm_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents that passages of 35 words standing elsewhere cover, and digests of the words that stay."""
+    docs = table(spark, folder, "documents")
+    dropped = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, span: total + span["end"] - span["start"])
+    found = substrings.repeats_of_texts(docs).select(
+        "key", "tag", "n_words", dropped.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+    return substrings.with_repeats(docs, found)
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text, where one text in ten is made periodic from some word on, by a rule on the id's checksum."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -138,6 +148,18 @@ def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ORACLE_SQL["op11_fm_repeats"] = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM texts),
+windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 34], ' ')) AS h FROM starts),
+repeated AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+removed AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM repeated),
+sizes AS (SELECT doc_id, count(*) AS n FROM removed GROUP BY doc_id),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM texts),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS text FROM numbered ANTI JOIN removed USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM texts LEFT JOIN sizes USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 ORACLE_SQL["op3_chat_round_trip"] = """
 WITH rows AS (
  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
