@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwright.plans.staging import shared_path
+from tillwright.plans.staging import hadoop_path, shared_path
 
 
 # Rows per Arrow batch: documents average some kilobytes and a few are very long, and a batch is held several times.
@@ -53,9 +53,20 @@ def whole_text(column: str = "text") -> Column:
 def stage_compressed(df: DataFrame, label: str) -> DataFrame:
     """Write once to the shared checkpoint folder with zstd and return a scan: a cut in the lineage that survives
     lost executors and costs less of the shared disk than the default codec."""
+    return stage_compressed_at(df, label)[0]
+
+
+def stage_compressed_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stage_compressed`` and the path, for tables that are dropped with ``unstage``."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def unstage(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    target, files = hadoop_path(spark, path)
+    files.delete(target, True)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillwright.llm import chat, decontaminate, edit_counts, language, packing, quality, runs, simhash_trie, sketch, substrings, token_shards, wrapper
+from tillwright.llm import centroids, chat, decontaminate, edit_counts, language, packing, quality, runs, simhash_trie, sketch, substrings, token_shards, wrapper
 from tillwright.llm.common import stage_compressed, table, whole_text
 from tillwright.plans.staging import shared_path
 
 WORD_VOCABULARY = "word_bpe_49k.json"
 BYTE_VOCABULARY = "byte_bpe_50k.json"
+CENTROIDS, ROUNDS = 40, 5
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -148,6 +150,51 @@ def op12_word_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op13_ns_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster, distances and final centroid of every embedding."""
+    points = stage_compressed(centroids.integer_vectors(table(spark, folder, "embeddings"), "embedding"), "points")
+    drawn = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    found = centroids.cluster_vectors(points, centroids.first_centroids(points, drawn, CENTROIDS), ROUNDS)
+    names = [(j, hashlib.sha256(",".join(map(str, c)).encode()).hexdigest()) for j, c in enumerate(found.centroids)]
+    total = F.sum(F.col("distance").cast("decimal(20,0)"))
+    per_cluster = found.assigned.groupBy("cluster").agg(total.alias("own")).withColumn("all", F.sum("own").over(Window.partitionBy()))
+    # One row per centroid on both small sides.
+    facts = spark.createDataFrame(names, "cluster int, centroid_sha256 string").join(per_cluster, "cluster").select(
+        "cluster", "centroid_sha256", F.expr("try_cast(own as bigint)").alias("cluster_inertia"), F.expr("try_cast(`all` as bigint)").alias("inertia"))
+    return found.assigned.join(F.broadcast(facts), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _clusters_sql(k: int, rounds: int) -> str:
+    """The same rounds as one common table after the other."""
+    steps = [f"""
+WITH points AS MATERIALIZED (
+ SELECT vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+ SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM points QUALIFY c < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (
+ SELECT vec_id, any_value(p.v) AS v,
+  min(list_sum(list_transform(range(1, 65), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i])))::BIGINT * {k} + c) AS best
+ FROM points p CROSS JOIN c{r} c GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""
+s{r} AS (SELECT best % {k} AS c, i, sum(x)::BIGINT AS s, count(*) AS n
+ FROM (SELECT best, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY ALL),
+m{r} AS (SELECT c, list((s - (s % n + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, cast(best % {k} AS INTEGER) AS cluster, best // {k} AS distance,
+ cast(sum(best // {k}) OVER (PARTITION BY best % {k}) AS BIGINT) AS cluster_inertia, cast(sum(best // {k}) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} c ON c.c = best % {k}"""
+
+
+ORACLE_SQL["op13_ns_clusters"] = _clusters_sql(CENTROIDS, ROUNDS)
+
 ORACLE_SQL["op11_fm_repeats"] = r"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS i FROM texts),
