@@ -181,10 +181,11 @@ def repeated_blocks(texts: DataFrame, common: np.ndarray, window: int = WINDOW,
 
     kind = "leader bigint, usual boolean, content bigint, key bigint, place bigint"
     blocks = _over_words(texts.select("key", "tag", "copies", "text"), "text", kind, schema, make)
-    # A leader that is no common run has few blocks, so they can be counted where they meet.
-    counted = blocks.filter("not usual").withColumn("n", F.sum(F.expr("1 + place % 2")).over(Window.partitionBy("leader")))
-    kept = counted.filter("n > 1").drop("n").unionByName(blocks.filter("usual"))
-    return stage_compressed(kept.drop("usual"), "blocks")
+    # A leader that is no common run has few blocks, so they can be counted where they meet; common ones need no count
+    # and are dealt out.
+    spread = F.when(F.col("usual"), F.pmod(F.xxhash64("key", "place"), F.lit(1 << 20))).otherwise(-1).alias("spread")
+    counted = blocks.select("*", spread).withColumn("n", F.sum(F.expr("1 + place % 2")).over(Window.partitionBy("leader", "spread")))
+    return stage_compressed(counted.filter("usual or n > 1").select("leader", "content", "key", "place"), "blocks")
 
 
 def _unpacked(place: str = "place") -> list[Column]:
