@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 from decimal import Decimal
 
 import pytest
@@ -8,7 +9,11 @@ from tillwright.operators import cleaning
 from tillwright.operators.profile import clean_invariants, duplicate_rows
 from tillwright.sources.transactions import (
     check_format,
+    intake_report,
+    load_audit,
+    load_clean,
     read_transactions,
+    read_with_quarantine,
     require_columns,
     union_sources,
     unparseable_values,
@@ -146,3 +151,43 @@ def test_unparseable_values_are_counted(spark):
                                  "quantity string, price string, invoice_ts string")
     found = unparseable_values(text, cleaning.coerce_types(text)).collect()
     assert {r["column"]: r["values"] for r in found} == {"quantity": 1, "price": 1, "invoice_ts": 1}
+
+
+def test_lines_that_do_not_fit_are_set_aside(spark, tmp_path):
+    folder = tmp_path / "upload.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text(f"{HEADER}\n1,A,x,2,2011-12-09,1,7,UK,more\n2,A,x,2\n\n3,A,\"x,2,2011-12-09,1,7,UK\n4,A,\"x, y\",2,2011-12-09,1,7,UK\n")
+    (folder / "2.csv").write_text(f"{HEADER}\n5,A,x,2,2011-12-09,1,7,UK\n")
+    ours = "invoice,stock_code,description,quantity,invoice_ts,price,customer_id,country"
+    (tmp_path / "own.csv").write_text(f"{ours}\n6,A,x,2,2011-12-09,1,7,UK\n7\n")
+    line = {"Invoice": "8", "StockCode": "A", "Description": "x", "Quantity": 2, "InvoiceDate": "2011-12-09", "Price": 1.5, "Country": "UK"}
+    named = {"invoice": "9", "stock_code": "A", "quantity": 3, "invoice_ts": "2011-12-09", "price": 2, "customer_id": 7, "more": {"a": [1]}}
+    (tmp_path / "lines.json").write_text("\n".join([json.dumps(line), json.dumps(named), '{"Invoice": "10", "Sto', "[1]", "{}", "", "null"]))
+    paths = [str(folder), str(tmp_path / "own.csv"), str(tmp_path / "lines.json")]
+    found = read_with_quarantine(spark, paths)
+    assert sorted(r["invoice"] for r in found.rows.collect()) == ["4", "5", "6", "8", "9"]
+    aside = {(r["line"], r["fields"]) for r in found.quarantined.collect()}
+    assert aside == {("1,A,x,2,2011-12-09,1,7,UK,more", 8), ("2,A,x,2", 4), ('3,A,"x,2,2011-12-09,1,7,UK', 3), ("7", 1),
+                     ('{"Invoice": "10", "Sto', 0), ("[1]", 0), ("{}", 0), ("null", 0)}
+    report = {r["path"].rsplit("/", 1)[1]: (r["rows"], r["quarantined"]) for r in intake_report(spark, paths).collect()}
+    assert report == {"1.csv": (1, 3), "2.csv": (1, 0), "own.csv": (1, 1), "lines.json": (2, 4)}
+    # What a caller counts or projects does not decide which lines fit.
+    assert found.rows.count() == 5 and found.quarantined.count() == 8
+    assert read_with_quarantine(spark, paths, columns=["price"]).rows.count() == 5
+    with pytest.raises(Exception, match="2,A,x,2|7,UK,more"):
+        read_transactions(spark, paths[0], columns=["price"]).collect()
+    with pytest.raises(ValueError, match=r"\['country'\]"):
+        (tmp_path / "few.json").write_text(json.dumps({k: v for k, v in line.items() if k != "Country"}))
+        read_transactions(spark, str(tmp_path / "few.json"))
+
+
+def test_load_counts_while_it_writes(spark, make_raw, tmp_path):
+    row = ("1", "A", "a", 1, "2011-01-01 09:00", 2.0, 1, "UK")
+    lines = make_raw([row, row, ("C2", *row[1:]), ("3", "B", " Adjust bad debt ", *row[3:]), ("4", *row[1:4], "2011-02-01 09:00", *row[5:])])
+    audit = load_clean(lines, str(tmp_path / "clean"))
+    assert audit.collect() == load_audit(lines).collect()
+    assert tuple(audit.first()) == (5, 4, 2, 4.0)
+    kept = spark.read.parquet(str(tmp_path / "clean"))
+    assert sorted(kept.columns) == sorted([*cleaning.clean_transactions(lines).columns, "month"])
+    assert kept.drop("month").exceptAll(cleaning.clean_transactions(lines).select(kept.drop("month").columns)).count() == 0 and kept.count() == 2
+    assert tuple(load_clean(lines.limit(0), str(tmp_path / "none")).first()) == (0, 0, 0, 0.0)

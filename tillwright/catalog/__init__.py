@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tillwright.catalog.base import ENTRIES, Entry
 
-for _section in ("load", "profile", "kpi", "segments", "anomaly", "investigation", "forecast", "backtest"):
+for _section in ("load", "profile", "kpi", "rollup", "segments", "anomaly", "investigation", "forecast", "backtest"):
     try:
         import_module(f"tillwright.catalog.{_section}")
     except ModuleNotFoundError as error:

@@ -1,5 +1,6 @@
 """Source, sink, audit and cleaning queries."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tillwright.catalog.base import clean, on_clean, on_raw, raw, register, stored
@@ -10,10 +11,14 @@ from tillwright.plans.staging import shared_path
 from tillwright.sources import star
 from tillwright.sources.transactions import (
     FILE_COLUMNS,
+    TRANSACTION_COLUMNS,
     check_format,
+    intake_report,
     load_audit,
+    load_clean,
     manifest_upsert,
     read_transactions,
+    read_with_quarantine,
     require_columns,
     union_sources,
     unparseable_values,
@@ -69,6 +74,69 @@ register(
 )
 
 
+def _damaged_files(spark, folder):
+    """Raw lines in a CSV file, a CSV file with our own column names and a JSON file of either naming, by the last digit
+    of the invoice. A line with quantity 13 has a field too many (CSV) or breaks off (JSON), one with quantity 17 has a
+    field too few (CSV) or is no object (JSON)."""
+    path = shared_path(spark, "damaged")
+    lines = raw(spark, folder).withColumn("invoice_ts", F.date_format("invoice_ts", "yyyy-MM-dd HH:mm:ss"))
+    digit = F.right("invoice", F.lit(1)).cast("int") % 3
+    quoted = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in TRANSACTION_COLUMNS])
+    csv = F.concat(
+        F.array_join(F.when(F.col("quantity") == 17, F.slice(quoted, 1, 7)).otherwise(quoted), ","),
+        F.when(F.col("quantity") == 13, ",more").otherwise(""),
+    )
+    names = {ours: theirs for theirs, ours in FILE_COLUMNS.items()}
+    renamed = F.to_json(F.struct(*[F.col(c).alias(names[c]) for c in TRANSACTION_COLUMNS]))
+    own = F.to_json(F.struct(*TRANSACTION_COLUMNS))
+    json = F.when(F.col("stock_code").endswith("1"), own).otherwise(renamed)
+    json = F.when(F.col("quantity") == 13, F.substring(json, 1, 40)).when(F.col("quantity") == 17, F.lit("[1, 2]")).otherwise(json)
+
+    def with_header(header):
+        def write(batches):
+            yield pa.RecordBatch.from_pydict({"value": [header]})
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0)], ["value"])
+        return write
+
+    for at, header in enumerate((list(FILE_COLUMNS), TRANSACTION_COLUMNS)):
+        part = lines.filter(digit == at).select(csv.alias("value")).coalesce(4)
+        part.mapInArrow(with_header(",".join(header)), "value string").write.text(f"{path}-{at}.csv")
+    lines.filter(digit == 2).select(json.alias("value")).write.text(f"{path}-2.json")
+    return [f"{path}-0.csv", f"{path}-1.csv", f"{path}-2.json"]
+
+
+register(
+    "read_with_quarantine", LINE, lambda spark, folder: read_with_quarantine(spark, _damaged_files(spark, folder)).rows,
+    "SELECT * FROM raw WHERE quantity NOT IN (13, 17)", views="raw",
+)
+
+
+def _part(path):
+    return F.regexp_extract(path, r"-(\d)\.(?:csv|json)/", 1).cast("int").alias("part")
+
+
+def _quarantine_counts(spark, folder):
+    """Per part: rows that fit and lines that don't, counted by the two sides of the read and by the report."""
+    paths = _damaged_files(spark, folder)
+    found = read_with_quarantine(spark, paths)
+    lines = found.quarantined.groupBy(_part(F.col("path"))).agg(
+        F.count_if(F.col("line").endswith(",more")).alias("too_many"), F.count(F.lit(1)).alias("set_aside"))
+    report = intake_report(spark, paths).groupBy(_part(F.col("path"))).agg(
+        F.sum("rows").alias("rows"), F.sum("quarantined").alias("quarantined"))
+    return report.join(lines, "part", "left").na.fill(0).crossJoin(found.rows.agg(F.count(F.lit(1)).alias("all_rows")))
+
+
+register(
+    "quarantine_counts", "part:n rows:n quarantined:n set_aside:n too_many:n all_rows:n", _quarantine_counts,
+    """SELECT cast(right(invoice, 1) AS INT) % 3 AS part, count(*) FILTER (WHERE quantity NOT IN (13, 17)) AS rows,
+ count(*) FILTER (WHERE quantity IN (13, 17)) AS quarantined, count(*) FILTER (WHERE quantity IN (13, 17)) AS set_aside,
+ count(*) FILTER (WHERE quantity = 13 AND cast(right(invoice, 1) AS INT) % 3 < 2) AS too_many,
+ (SELECT count(*) FROM raw WHERE quantity NOT IN (13, 17)) AS all_rows FROM raw GROUP BY 1""",
+    views="raw",
+)
+
+
 def _refused(call) -> bool:
     try:
         call()
@@ -127,6 +195,21 @@ register(
 )
 
 
+def _loaded(spark, folder):
+    """The audit of a load, and what the load wrote."""
+    path = shared_path(spark, "loaded")
+    audit = load_clean(raw(spark, folder), path)
+    written = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("written_rows"), F.count_if(F.col("is_cancelled") | F.col("is_bad_debt")).alias("dropped_kinds"))
+    return audit.crossJoin(written)  # one row each
+
+
+register(
+    "load_clean", "raw_rows:n deduped_rows:n output_rows:n total_revenue:m written_rows:n dropped_kinds:n", _loaded,
+    """SELECT (SELECT count(*) FROM raw) AS raw_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM raw)) AS deduped_rows,
+ count(*) AS output_rows, sum(revenue) AS total_revenue, count(*) AS written_rows, 0 AS dropped_kinds FROM clean""",
+)
+
+
 def _manifest(spark, folder):
     per_month = (
         clean(spark, folder)
