@@ -82,3 +82,25 @@ def test_dimension_of_unknown_dates_is_wrong(spark, four_lines, the_day):
     got = {r["scenario"]: (r["top_1_correct"], r["top_3_correct"]) for r in b.dimension_eval(ranked, expected).collect()}
     assert got == {"a": (True, True), "b": (False, False), "c": (False, False)}
     assert b.accuracy(b.dimension_eval(ranked, expected).filter("false")).first()["top_1_accuracy"] == 0
+
+
+def test_deltas_rank_as_the_lines_themselves_would(make_raw):
+    """Days with ties, returns, nulls in every member, members beyond the list limits, and a target below them."""
+    from tillwright.operators.contribution import all_contributions, member_measures, rank_root_causes
+
+    rows = []
+    for day in ("2011-12-09", "2011-12-10"):
+        for k in range(60):
+            rows.append((f"{k % 40}", f"P{k % 25}" if k % 13 else None, f"Product {k % 25}" if k % 7 else None, k % 9 - 1,
+                         f"{day} {6 + k % 17:02d}:00", 2.0 + k % 3, k % 31 if k % 5 else None, f"C{k % 14}" if k % 11 else None))
+    lines = lines_on(clean_transactions(make_raw(rows)), make_raw(rows).selectExpr("to_date(invoice_ts) as date").distinct()).cache()
+    measures = member_measures(lines)
+    targets = b.targets_from(measures).cache()
+    assert targets.count() == 6
+    contributions = all_contributions(b.scenario_lines(lines, targets), 10, hour_top_n=20, by=("date", "scenario"))
+    want = rank_root_causes(contributions.filter("rank <= 10"), 10, ("date", "scenario"))
+    columns = ["date", "scenario", "cause_rank", "dimension", "cause", "round(revenue, 4)", "round(contribution_pct, 8)", "orders", "units"]
+    key = lambda df: sorted(map(repr, df.selectExpr(*columns).collect()))
+    assert key(b.ranked_from(measures, targets)) == key(want)
+    plan = b.ranked_from(measures, targets)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Expand" not in plan

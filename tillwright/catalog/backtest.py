@@ -6,7 +6,7 @@ from tillwright.catalog.base import daily, register, stored
 from tillwright.catalog.investigation import LEADERS, LINES
 from tillwright.operators import backtest as b
 from tillwright.operators.anomaly import detect, detect_from_transactions
-from tillwright.operators.contribution import all_contributions, lines_on, rank_root_causes
+from tillwright.operators.contribution import all_contributions, lines_on, member_measures, rank_root_causes
 from tillwright.operators.kpi import daily_revenue
 from tillwright.plans.investigate import flagged_days
 from tillwright.plans.staging import stage
@@ -88,10 +88,10 @@ marks AS (SELECT date IN (SELECT date FROM target) AS t, coalesce(abs(z_score) >
 
 
 def _days(spark, folder):
-    """Lines and targets of every flagged day."""
+    """Member measures and targets of every flagged day, from one pass over their lines."""
     tx = stored(spark, folder)
-    lines = stage(lines_on(tx, flagged_days(tx)), "lines")
-    return lines, stage(b.select_targets(lines), "targets")
+    measures = member_measures(lines_on(tx, flagged_days(tx)))
+    return measures, stage(b.targets_from(measures), "targets")
 
 
 TRIALS = LINES + """,
@@ -144,8 +144,8 @@ register(
 
 
 def _ranks(spark, folder):
-    lines, targets = _days(spark, folder)
-    return b.target_rank(b.ranked_scenarios(lines, targets), targets)
+    measures, targets = _days(spark, folder)
+    return b.target_rank(b.ranked_from(measures, targets), targets)
 
 
 register(
@@ -155,7 +155,7 @@ register(
 
 
 def _scenarios(spark, folder):
-    found = b.scenario_eval(*_days(spark, folder))
+    found = b.scenario_eval_from(*_days(spark, folder))
     second = F.get("top_5", F.lit(1))
     return found.withColumns({"causes": F.size("top_5"), "second": F.concat_ws(" ", second["dimension"], second["cause"])})
 
@@ -175,7 +175,7 @@ ACCURACY_SQL = """SELECT count(*) AS scenario_count, count(*) FILTER (WHERE top_
  count(*) FILTER (WHERE top_3_correct) AS top_3_correct, avg(cast(top_1_correct AS INT)) AS top_1_accuracy,
  avg(cast(top_3_correct AS INT)) AS top_3_accuracy FROM ({results})"""
 register(
-    "accuracy", ACCURACY, lambda spark, folder: b.accuracy(b.scenario_eval(*_days(spark, folder))),
+    "accuracy", ACCURACY, lambda spark, folder: b.accuracy(b.scenario_eval_from(*_days(spark, folder))),
     ACCURACY_SQL.format(results=RESULT_SQL), views="scored", helpers=TRIALS,
 )
 

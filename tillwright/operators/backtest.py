@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import day_of, money, ratio_or_zero
-from tillwright.operators.contribution import MEMBERS, all_contributions, member_label, rank_root_causes
-from tillwright.plans.staging import bounded_side
+from tillwright.operators.contribution import (
+    MEMBER_TYPES, dimension_totals, member_lists, member_measures, rank_root_causes, with_shares,
+)
+from tillwright.plans.staging import bounded_side, broadcast_if_small, stage
 
 # The injected amount, the hours it is spread over, and the names that carry it otherwise.
 SHOCK = 100_000.0
@@ -78,20 +80,20 @@ def select_targets(lines: DataFrame) -> DataFrame:
 
     ``lines`` come from ``lines_on``. A scenario without a suitable member has no row.
     """
+    return targets_from(member_measures(lines))
 
-    def top(dimension: str, minimum: int) -> DataFrame:
-        members = MEMBERS[dimension]
-        rows = lines if dimension == "product" else lines.dropna(subset=members)
-        sums = rows.groupBy("date", *members).agg(money(F.sum("revenue")).alias("_r"), F.count(F.lit(1)).alias("_n"))
-        best = F.min_by(F.struct(*members), F.struct(-F.col("_r"), *[F.coalesce(F.col(m).cast("string"), F.lit("")) for m in members]))
-        chosen = sums.filter(F.col("_n") >= minimum).groupBy("date").agg(best.alias("_m"))
-        return chosen.select("date", F.lit(dimension).alias("scenario"), "_m.*")
 
-    return (
-        top("country", 1)
-        .unionByName(top("product", 2), allowMissingColumns=True)
-        .unionByName(top("customer", 2), allowMissingColumns=True)
+def targets_from(measures: DataFrame) -> DataFrame:
+    """``select_targets`` of stored member measures: the lines are not read again."""
+    suitable = (
+        (F.col("dimension") == "product") & (F.col("lines") >= 2)
+        | (F.col("dimension") == "customer") & (F.col("lines") >= 2)
+        | (F.col("dimension") == "country") & F.col("country").isNotNull()
     )
+    named = ("stock_code", "description", "customer_id", "country")
+    first = F.struct(-F.col("revenue"), *[F.coalesce(F.col(m).cast("string"), F.lit("")) for m in named])
+    best = measures.filter(suitable).groupBy("date", F.col("dimension").alias("scenario")).agg(F.min_by(F.struct(*named), first).alias("_m"))
+    return best.select("date", "scenario", "_m.*")
 
 
 def require_targets(targets: DataFrame) -> DataFrame:
@@ -127,18 +129,54 @@ def inject_member_rows(targets: DataFrame) -> DataFrame:
 
 
 def scenario_lines(lines: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every scenario's day: its own lines plus the injected ones. All scenarios are evaluated in one pass."""
+    """Every scenario's day: its own lines plus the injected ones. ``ranked_from`` does without them."""
     injected = inject_member_rows(targets)
     scenarios = F.explode(F.array(*[F.lit(s) for s in SCENARIOS])).alias("scenario")
     original = lines.select("*", scenarios).withColumn("revenue", F.col("revenue").cast("double"))
     return original.select(*injected.columns).unionByName(injected)
 
 
+def scenario_deltas(targets: DataFrame) -> DataFrame:
+    """What the injected lines of each scenario add to each member: a few rows per date, staged."""
+    return member_measures(inject_member_rows(targets), ("date", "scenario"))
+
+
 def ranked_scenarios(lines: DataFrame, targets: DataFrame, top_n: int = 10) -> DataFrame:
     """Ranked causes per date and scenario; the hour list may hold 20 entries, the others ``top_n``."""
+    return ranked_from(member_measures(lines), targets, top_n)
+
+
+def ranked_from(measures: DataFrame, targets: DataFrame, top_n: int = 10, hour_top_n: int = 20) -> DataFrame:
+    """``ranked_scenarios`` of stored member measures and the deltas of the scenarios.
+
+    A scenario changes one member per dimension (and fourteen hours), all upwards. Its lists are therefore among the
+    members the lists had before and those that changed; injected invoices occur nowhere else, so orders add up. The
+    lines are neither read again nor repeated per scenario.
+    """
     by = ("date", "scenario")
-    contributions = all_contributions(scenario_lines(lines, targets), top_n, hour_top_n=20, by=by)
-    heads = contributions.filter(F.col("rank") <= top_n)
+    added = scenario_deltas(targets)
+    deltas = broadcast_if_small(added)
+    trials = broadcast_if_small(stage(targets.select(*by).distinct(), "trials"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        matched = (a["date"] == b["date"]) & (a["dimension"] == b["dimension"])
+        for m in MEMBER_TYPES:
+            matched = matched & a[m].eqNullSafe(b[m])
+        return matched
+
+    sums = ("_exact", "revenue", "units_sold", "orders")
+    met = measures.join(deltas, same(measures, deltas)).select(
+        *[deltas[c] for c in (*by, "dimension", *MEMBER_TYPES)],
+        *[(measures[c].cast(deltas.schema[c].dataType) + deltas[c]).alias(c) for c in sums])
+    met = stage(met, "met-members")
+    new = deltas.join(met, (deltas["scenario"] == met["scenario"]) & same(deltas, met), "left_anti").select(met.columns)
+    before = stage(member_lists(measures, top_n, hour_top_n), "lists").join(trials, "date").select(
+        *by, "dimension", *MEMBER_TYPES, *[F.col(c).cast(met.schema[c].dataType).alias(c) for c in sums])
+    unchanged = before.join(deltas, (before["scenario"] == deltas["scenario"]) & same(before, deltas), "left_anti")
+    lists = member_lists(met.unionByName(new).unionByName(unchanged), top_n, hour_top_n, by)
+    whole = dimension_totals(measures).join(trials, "date").unionByName(dimension_totals(added, by))
+    totals = whole.groupBy(*by, "dimension").agg(F.sum("_whole").alias("_whole"))
+    heads = with_shares(lists, totals, by).filter(F.col("rank") <= top_n)
     return rank_root_causes(heads, top_n, by)
 
 
@@ -164,7 +202,12 @@ def member_label_of_target() -> Column:
 
 def scenario_eval(lines: DataFrame, targets: DataFrame, top_n: int = 10) -> DataFrame:
     """Per date and scenario: the target's rank, top-1/top-3 hits, the predicted dimension and the first five causes."""
-    ranked = ranked_scenarios(lines, targets, top_n)
+    return scenario_eval_from(member_measures(lines), targets, top_n)
+
+
+def scenario_eval_from(measures: DataFrame, targets: DataFrame, top_n: int = 10) -> DataFrame:
+    """``scenario_eval`` of stored member measures."""
+    ranked = stage(ranked_from(measures, targets, top_n), "ranked")
     entry = F.struct("cause_rank", "dimension", "cause", "revenue", "contribution_pct")
     heads = ranked.groupBy("date", "scenario").agg(
         F.min_by("dimension", "cause_rank").alias("predicted_top_1"),

@@ -56,6 +56,7 @@ def _measured(rows: DataFrame, keys: list[str]) -> DataFrame:
         money(F.sum("revenue")).alias("revenue"),
         zero_if_null(F.sum("quantity")).alias("units_sold"),
         F.count_distinct("invoice").alias("orders"),
+        F.count(F.lit(1)).alias("lines"),
     )
 
 
@@ -100,12 +101,11 @@ def time_contribution(tx: DataFrame, dates: DataFrame, top_n: int = 10) -> DataF
     return contribution(lines_on(tx, dates), "hour", top_n)
 
 
-def all_contributions(
-    lines: DataFrame, top_n: int = 10, hour_top_n: int | None = None, by: Keys = ("date",)
-) -> DataFrame:
-    """The four lists in one table: by, dimension, rank, every member column (null where foreign), measures.
+def member_measures(lines: DataFrame, by: Keys = ("date",)) -> DataFrame:
+    """Measures of every member of every dimension: by, dimension, every member column (null where foreign), measures
+    and the number of lines; staged.
 
-    One pass: each line is emitted once per dimension with that dimension's member, so the four lists share a
+    One pass: each line is emitted once per dimension with that dimension's member, so the four dimensions share a
     scan and one chain of shuffles instead of four. Skew is handled as in ``contribution``.
     """
 
@@ -119,20 +119,44 @@ def all_contributions(
 
     members = F.array_compact(F.array(*[member(d) for d in MEMBERS]))
     long = lines.select(*by, "invoice", "quantity", "revenue", F.inline(members))
-    groups = [*by, "dimension"]
-    measures = stage(_measured(long, [*groups, *MEMBER_TYPES]), "members")
-    totals = measures.groupBy(*groups).agg(money(F.sum("_exact")).alias("_whole"))
+    return stage(_measured(long, [*by, "dimension", *MEMBER_TYPES]), "members")
+
+
+def member_lists(measures: DataFrame, top_n: int = 10, hour_top_n: int | None = None, by: Keys = ("date",)) -> DataFrame:
+    """The first members of each dimension by revenue, with their ``rank``."""
     hours = top_n if hour_top_n is None else hour_top_n
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*_best_first(list(MEMBER_TYPES))))
+    place = F.row_number().over(Window.partitionBy(*by, "dimension").orderBy(*_best_first(list(MEMBER_TYPES))))
     top = measures.withColumn("rank", place).filter(F.col("rank") <= max(top_n, hours))
-    listed = top.filter(F.col("rank") <= F.when(F.col("dimension") == "hour", hours).otherwise(top_n))
+    return top.filter(F.col("rank") <= F.when(F.col("dimension") == "hour", hours).otherwise(top_n))
+
+
+def dimension_totals(measures: DataFrame, by: Keys = ("date",)) -> DataFrame:
+    """``_whole``: revenue of all members of a dimension."""
+    return measures.groupBy(*by, "dimension").agg(money(F.sum("_exact")).alias("_whole"))
+
+
+def with_shares(listed: DataFrame, totals: DataFrame, by: Keys = ("date",)) -> DataFrame:
     return (
-        listed.join(totals, groups)
+        listed.join(totals, [*by, "dimension"])
         .withColumn("revenue_share_pct", percent_of(F.col("revenue"), F.col("_whole")))
-        .select(*groups, "rank", *MEMBER_TYPES, "revenue", "units_sold", "orders", "revenue_share_pct")
+        .select(*by, "dimension", "rank", *MEMBER_TYPES, "revenue", "units_sold", "orders", "revenue_share_pct")
     )
 
 
+def all_contributions(
+    lines: DataFrame, top_n: int = 10, hour_top_n: int | None = None, by: Keys = ("date",)
+) -> DataFrame:
+    """The four lists in one table: by, dimension, rank, every member column (null where foreign), measures."""
+    return contributions_from(member_measures(lines, by), top_n, hour_top_n, by)
+
+
+def contributions_from(
+    measures: DataFrame, top_n: int = 10, hour_top_n: int | None = None, by: Keys = ("date",)
+) -> DataFrame:
+    """``all_contributions`` of stored member measures."""
+    return with_shares(member_lists(measures, top_n, hour_top_n, by), dimension_totals(measures, by), by)
+
+
 def member_label() -> Column:
     """Readable name of a member row of all_contributions."""
     return (
