@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import statistics
 
 import pytest
@@ -11,6 +12,7 @@ from tillwright.operators import profile, rfm
 from tillwright.operators.cleaning import clean_transactions
 from tillwright.operators.sampling import stratified_day_sample
 from tillwright.plans.ordered import running_total
+from tillwright.plans.selection import select_ranks
 from tillwright.plans.skew import join_key_facts
 from tillwright.plans.staging import bounded_side, broadcast_if_small, drop_staged, shared_root, stage
 
@@ -39,7 +41,7 @@ def test_quintiles_match_linear_quantile_bins(spark, n):
         bin_ = next(b for b in range(1, 6) if rank <= edges[b] + 1e-9)
         assert got[i]["r_score"] == 6 - bin_
         assert got[i]["m_score"] == next(b for b in range(1, 6) if n - i <= edges[b] + 1e-9)
-    sliced = {r["customer_id"]: r for r in rfm.rfm_scores(rows, single_window_rows=4).collect()}
+    sliced = {r["customer_id"]: r for r in rfm.rfm_scores(rows, fetched=0).collect()}
     assert sliced == got
 
 
@@ -85,6 +87,44 @@ def test_exact_quartiles(spark):
     assert got["y"]["count"] == len(kept) and got["y"]["q50"] == pytest.approx(statistics.median(kept))
 
 
+@pytest.mark.parametrize("buckets, fetched", [(16, 0), (1_024, 0), (5, 60)])
+def test_selected_ranks_are_those_of_a_sort(spark, buckets, fetched):
+    """Ties, many magnitudes, both signs, infinities and NaN, neighbours of a float, one value, nulls, and no value."""
+    close = [1.0 + k * 2.0**-52 for k in range(12)]
+    fields = {
+        "ties": [float(k % 4) for k in range(300)], "wide": [(-1.0) ** k * 10.0 ** (k * 7 % 300 - 150) for k in range(60)],
+        "odd": [math.inf, -math.inf, 0.0, math.nan, math.nan, 1e308, -1e308, 5e-324], "close": close[::-1], "one": [3.5] * 9, "none": [],
+    }
+    rows = [(f, v) for f, values in fields.items() for v in [*values, None]]
+    df = spark.createDataFrame(rows, "field string, value double")
+    wanted = {f: [1, 2, len(v) // 3, len(v) // 2, len(v), len(v) + 1] for f, v in fields.items()}
+    got = select_ranks(df, wanted, buckets, fetched)
+    for f, values in fields.items():
+        ordered = sorted(values, key=lambda v: (math.isnan(v), v))
+        for r in wanted[f]:
+            if not 1 <= r <= len(ordered):
+                assert (f, r) not in got
+                continue
+            value, below = ordered[r - 1], got[f, r].below
+            assert repr(got[f, r].value) == repr(value)
+            assert below == sum(v < value or (math.isnan(value) and not math.isnan(v)) for v in values)
+    large = spark.range(500).selectExpr("'i' as field", f"{2**62} + id * id - 9000000000000000000 * (id % 2) as value")
+    numbers = sorted(r["value"] for r in large.collect())
+    assert {r: s.value for (_, r), s in select_ranks(large, {"i": [1, 77, 250, 500]}, buckets, fetched).items()} == {r: numbers[r - 1] for r in (1, 77, 250, 500)}
+
+
+def test_quartiles_and_scores_sort_no_table(spark):
+    rows = spark.range(400).select(
+        F.col("id").alias("customer_id"), (F.col("id") % 3).cast("int").alias("recency"), (F.col("id") % 7).alias("frequency"),
+        F.when(F.col("id") % 9 != 0, F.col("id") * 1.5).alias("monetary"))
+    forced, usual = (rfm.rfm_scores(rows, fetched=n) for n in (0, 20_000))
+    assert sorted(forced.collect()) == sorted(usual.collect())
+    for df in (forced, profile.describe_numbers(rows, ["recency", "monetary"], fetched=0)):
+        plan = df._jdf.queryExecution().toString()
+        assert "Window" not in plan and "Sort" not in plan and "rangepartitioning" not in plan
+    assert profile.describe_numbers(rows.limit(0), ["recency"]).count() == 0
+
+
 @pytest.fixture(scope="module")
 def uneven(make_raw):
     """30 days of two lines, one day of 400 lines, with copies kept (no de-duplication)."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import money, percent_of, ratio, true_or_false, zero_if_null
 from tillwright.operators.cleaning import bad_debt, cancelled, line_revenue
-from tillwright.plans.ordered import running_total
+from tillwright.plans.selection import FETCHED, select_ranks
 from tillwright.plans.staging import stage
 
 COPY_CHUNK = 10_000
@@ -125,41 +126,40 @@ def cancel_by_negative(df: DataFrame) -> DataFrame:
     return counted.select("is_cancelled", "is_negative", "rows")
 
 
-def describe_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def describe_numbers(df: DataFrame, columns: Sequence[str], fetched: int = FETCHED) -> DataFrame:
     """Count, mean, standard deviation, minimum, exact quartiles (linear interpolation) and maximum per column.
 
-    The built-in exact percentile keeps every distinct value of a group in one task. Here value frequencies
-    are summed along the global order instead, and each quartile is read off where its rank is passed. The input
-    is read once; mean and deviation come from the frequencies too.
+    The built-in exact percentile keeps every distinct value of a group in one task, and a global order sorts them all.
+    Here the quartiles are selected by counts (``plans.selection``). The input is read once: its columns are staged.
+    A column without values has no row.
     """
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "field", "value")
-    known = long.filter(F.col("value").isNotNull())
-    frequency = stage(known.groupBy("field", "value").agg(F.count(F.lit(1)).alias("_n")), "frequency")
-    mass = running_total(frequency, [F.col("field"), F.col("value")], "_upto", weight=F.col("_n"))
-
-    # One row per described column.
-    rows = F.sum("_n")
-    sizes = frequency.groupBy("field").agg(rows.alias("_rows"), ratio(F.sum(F.col("value") * F.col("_n")), rows).alias("_mean"))
-    before = Window.orderBy("field").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    placed = mass.join(F.broadcast(sizes), "field").withColumn("_rank", F.col("_upto") - F.col("_before"))
-
-    def quantile(q: float) -> Column:
-        position = F.lit(q) * (F.max("_rows") - 1)
-        low, high = (
-            F.min(F.when(F.col("_rank") > edge(F.lit(q) * (F.col("_rows") - 1)), F.col("value"))) for edge in (F.floor, F.ceil)
-        )
-        return low + (high - low) * (position - F.floor(position))
-
-    squares = F.sum(F.col("_n") * F.pow(F.col("value") - F.col("_mean"), F.lit(2)))
-    return placed.groupBy("field").agg(
-        F.max("_rows").alias("count"),
-        F.max("_mean").alias("mean"),
-        F.sqrt(ratio(squares, F.max("_rows") - 1)).alias("std"),
-        F.min("value").alias("min"),
-        *[quantile(q).alias(name) for name, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))],
-        F.max("value").alias("max"),
-    )
+    numbers = stage(df.select(*[F.col(c).cast("double").alias(c) for c in columns]), "numbers")
+    long = numbers.unpivot([], list(columns), "field", "value")
+    known = F.col("value").isNotNull()
+    first = long.groupBy("field").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    facts = {r["field"]: r for r in first.filter("count > 0").collect()}  # one row per column
+    means = F.create_map(*[x for c, r in facts.items() for x in (F.lit(c), F.lit(r["mean"]))]) if facts else F.lit(None)
+    squares = {}
+    if facts:
+        apart = F.sum(F.pow(F.col("value") - F.try_element_at(means, F.col("field")), F.lit(2))).alias("squares")
+        squares = {r["field"]: r["squares"] for r in long.filter(known).groupBy("field").agg(apart).collect()}
+
+    places = {(c, q): 1 + q * (r["count"] - 1) for c, r in facts.items() for q in (0.25, 0.5, 0.75)}
+    wanted = {c: {edge for (f, _), p in places.items() if f == c for edge in (math.floor(p), math.ceil(p))} for c in facts}
+    at = select_ranks(long, wanted, fetched=fetched)
+
+    def row(c: str) -> tuple:
+        r, n = facts[c], facts[c]["count"]
+        quartiles = []
+        for q in (0.25, 0.5, 0.75):
+            place = places[c, q]
+            low, high = at[c, math.floor(place)].value, at[c, math.ceil(place)].value
+            quartiles.append(low + (high - low) * (place - math.floor(place)) if low != high else low)
+        return c, n, r["mean"], math.sqrt(squares[c] / (n - 1)) if n > 1 else None, r["min"], *quartiles, r["max"]
+
+    kind = "field string, count bigint, mean double, std double, min double, q25 double, q50 double, q75 double, max double"
+    return df.sparkSession.createDataFrame([row(c) for c in columns if c in facts], kind)
 
 
 def describe_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import money, percent_of
-from tillwright.plans.ordered import SINGLE_WINDOW_ROWS, running_total
+from tillwright.plans.selection import FETCHED, select_ranks
 from tillwright.plans.staging import stage
 
 
@@ -28,29 +28,52 @@ def rfm(tx: DataFrame) -> DataFrame:
     )
 
 
-def quintile(rank: Column, rows: Column) -> Column:
-    """Bin 1..5 of a 1-based rank on linear quantile edges, right-closed; null for a single row."""
-    bin_ = F.call_function("div", (rank - 1) * 5 + rows - 2, F.nullif(rows - 1, F.lit(0)))
-    return F.when(rows > 1, F.greatest(F.lit(1).cast("bigint"), bin_)).cast("int")
+METRICS = ("recency", "frequency", "monetary")
+BINS = 5
 
 
-def rfm_scores(scored: DataFrame, single_window_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
-    """Quintile scores of first-come ranks, customer id breaking ties; low recency scores high.
+def score_bounds(scored: DataFrame, rows: int, fetched: int = FETCHED) -> dict[str, list[tuple[float, int]]]:
+    """Per metric the last (value, customer id) of each bin but the highest, in the order of value and id.
 
-    Ranks are global over all customers. The customer table is staged once and counted; above the limit the
-    ranks are computed over range-partitioned slices instead of one ordered window.
+    Bins are those of linear quantile edges over 1-based ranks, right-closed. Two selections over all metrics at once:
+    the values at the edges, and the ids at which equal values are parted.
     """
-    ranked = stage(scored, "rfm")
-    rows = ranked.count()
-    for metric in ("recency", "frequency", "monetary"):
-        order = [F.col(metric).asc(), F.col("customer_id").asc()]
-        ranked = running_total(ranked, order, f"_{metric}", rows=rows, single_window_rows=single_window_rows)
-    n = F.lit(rows).cast("bigint")
-    return ranked.withColumns({
-        "r_score": F.lit(6) - quintile(F.col("_recency"), n),
-        "f_score": quintile(F.col("_frequency"), n),
-        "m_score": quintile(F.col("_monetary"), n),
-    }).drop("_recency", "_frequency", "_monetary")
+    edges = [1 + b * (rows - 1) // BINS for b in range(1, BINS)]
+    values = [F.coalesce(F.col(m).cast("double"), F.lit(float("-inf"))).alias(m) for m in METRICS]  # nulls come first
+    long = scored.select("customer_id", *values).unpivot(["customer_id"], list(METRICS), "metric", "number")
+    at = select_ranks(long.select(F.col("metric").alias("field"), F.col("number").alias("value")), {m: edges for m in METRICS}, fetched=fetched)
+    tied = {(m, at[m, r].value): at[m, r].below for m in METRICS for r in edges}
+    # At most four values per metric.
+    local = scored.sparkSession.createDataFrame([(f"{m}/{v!r}", m, v) for m, v in tied], "field string, metric string, number double")
+    among = long.join(F.broadcast(local), ["metric", "number"]).select("field", F.col("customer_id").alias("value"))
+    wanted: dict[str, list[int]] = {}
+    for m in METRICS:
+        for r in edges:
+            wanted.setdefault(f"{m}/{at[m, r].value!r}", []).append(r - at[m, r].below)
+    ids = select_ranks(among, wanted, fetched=fetched)
+    return {m: [(at[m, r].value, ids[f"{m}/{at[m, r].value!r}", r - at[m, r].below].value) for r in edges] for m in METRICS}
+
+
+def rfm_scores(scored: DataFrame, fetched: int = FETCHED) -> DataFrame:
+    """Quintile scores of first-come ranks, customer id breaking ties; low recency scores high. A single customer has none.
+
+    No global order is built: the customers at the edges of the bins are selected by counts (``plans.selection``), and
+    each row is compared with them where it is.
+    """
+    staged = stage(scored, "rfm")
+    rows = staged.count()
+    if rows < 2:
+        return staged.withColumns({f"{m[0]}_score": F.lit(None).cast("int") for m in METRICS})
+    bounds = score_bounds(staged, rows, fetched)
+
+    def bin_of(metric: str) -> Column:
+        own = F.struct(F.coalesce(F.col(metric).cast("double"), F.lit(float("-inf"))).alias("v"), F.col("customer_id").cast("bigint").alias("i"))
+        past = [F.when(own > F.struct(F.lit(v).alias("v"), F.lit(i).cast("bigint").alias("i")), 1).otherwise(0) for v, i in bounds[metric]]
+        return (F.lit(1) + past[0] + past[1] + past[2] + past[3]).cast("int")
+
+    return staged.withColumns({
+        "r_score": (F.lit(BINS + 1) - bin_of("recency")).cast("int"), "f_score": bin_of("frequency"), "m_score": bin_of("monetary"),
+    })
 
 
 def rfm_combined(scores: DataFrame) -> DataFrame:
