@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import sys
+import unicodedata
 import zlib
 
 import corpus_pipeline
@@ -105,6 +108,78 @@ def test_fit_recovers_an_ordered_signal():
     assert np.mean((tails > 0.5).sum(axis=1) == grades) > 0.97
 
 
+def test_only_letters_are_letters(spark):
+    for code in range(0, sys.maxunicode + 1, 1):
+        if not 0xD800 <= code < 0xE000:
+            assert bool(language.letters_of(chr(code))) == unicodedata.category(chr(code)).startswith("L"), hex(code)
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(["²", "½ Ⅷ ①", "#### ###", "１２", "a plain text"])], "doc_id bigint, text string, lang string")
+    rows = {r["doc_id"]: r["lang_pred"] for r in language.predict_language(docs, language.train(docs)).collect()}
+    assert [rows[i] for i in range(5)] == [language.UNKNOWN] * 4 + ["en"]
+
+
+def test_decoding_is_that_of_a_loop_over_bits_and_languages():
+    rng = np.random.default_rng(5)
+    for languages in (2, 3, 5, 9):
+        code = language.codewords(languages)
+        names = tuple(f"l{i}" for i in range(languages))
+        model = language.CodeModel(names, code, rng.normal(size=(language.BUCKETS, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]).astype(np.float32))
+        profiles = np.stack([language.ngram_profile(f" text number {i} of some ".encode()) for i in range(12)])
+        best, score, lead = model.decode(profiles)
+        for i, profile in enumerate(profiles):
+            losses = []
+            for j in range(languages):
+                margins = [float(profile @ model.weights[:, b]) + float(model.bias[b]) for b in range(code.shape[1])]
+                losses.append(sum(math.log1p(math.exp(-int(code[j, b]) * margins[b])) for b in range(code.shape[1])))
+            first, second = sorted(losses)[:2]
+            assert losses[best[i]] == pytest.approx(first, rel=1e-4)
+            assert score[i] == pytest.approx(1 / sum(math.exp(first - x) for x in losses), rel=1e-3)
+            assert lead[i] == pytest.approx((second - first) / code.shape[1], rel=1e-2, abs=1e-4)
+
+
+def plain_loss(documents: list, grades: list, weights: dict, thresholds: list) -> float:
+    """Mean negative log likelihood of the cumulative logit and the penalty, by loops."""
+    edges, total = [-math.inf, *thresholds, math.inf], 0.0
+    logistic = lambda x: 0.0 if x == -math.inf else 1.0 if x == math.inf else 1 / (1 + math.exp(-x))
+    for d, g in zip(documents, grades, strict=True):
+        score = sum(weights.get(int(f), 0.0) for f in d)
+        total -= math.log(max(1e-12, logistic(edges[g + 1] - score) - logistic(edges[g] - score)))
+    return total / len(documents) + quality.PENALTY * sum(abs(w) for w in weights.values())
+
+
+def test_fit_is_near_the_minimum_of_the_plain_loss():
+    """A search along single weights and thresholds, each by trial, finds nothing that is much better."""
+    rng = np.random.default_rng(8)
+    grades = rng.integers(0, 3, 200)
+    documents = [np.array(sorted({int(10 + max(0, min(2, g + rng.integers(-1, 2)))), *(100 + rng.integers(0, 9, 3)).tolist()})) for g in grades]
+    model = quality.fit(documents, grades)
+    fitted = plain_loss(documents, grades, model.weights, list(model.thresholds))
+    best, weights, thresholds = fitted, dict(model.weights), list(model.thresholds)
+    for step in (0.2, 0.05):
+        for _ in range(6):
+            for f in sorted({int(f) for d in documents for f in d}):
+                for moved in (weights.get(f, 0.0) - step, weights.get(f, 0.0) + step):
+                    if (loss := plain_loss(documents, grades, {**weights, f: moved}, thresholds)) < best:
+                        best, weights = loss, {**weights, f: moved}
+            for k in range(2):
+                for moved in (thresholds[k] - step, thresholds[k] + step):
+                    trial = [moved if i == k else t for i, t in enumerate(thresholds)]
+                    if (loss := plain_loss(documents, grades, weights, trial)) < best:
+                        best, thresholds = loss, trial
+    assert fitted - best < 0.005 < plain_loss(documents, grades, {}, list(model.thresholds)) - best
+
+
+def test_scores_are_plain_sums_over_features(documents):
+    texts = [r["text"] or "" for r in documents.collect()]
+    every = sorted({f for t in texts for f in quality.features(t)})
+    model = quality.OrdinalModel({f: math.sin(i) for i, f in enumerate(every) if i % 3}, (-1.0, 1.0))
+    scorer = quality.Scorer(model)
+    for text in texts * 2:
+        score = sum(model.weights.get(f, 0.0) for f in quality.features(text))
+        assert scorer.score(text) == pytest.approx(score, abs=1e-9)
+        tails = model.tails(np.array([score]))[0]
+        assert tails.tolist() == pytest.approx([1 / (1 + math.exp(t - score)) for t in model.thresholds])
+
+
 def test_pipeline_against_plain_stages(spark, folder):
     """Each stage on its own input: the rows it keeps are those a plain loop keeps."""
     docs = table(spark, folder, "documents")

@@ -15,6 +15,7 @@ columns are ignored (``keep_known`` returns them).
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +35,11 @@ AMBIGUOUS = 0.02
 ALL_SPLITS = 6
 PENALTY, STEPS = 1e-3, 60
 BYTES_AT_ONCE = 1 << 20
+# Numbers that are no decimal digits (fractions, superscripts, Roman and circled numerals) count as word characters of
+# patterns, but are no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 # Lower case makes letters equal; runs of anything else become one blank.
-NO_LETTERS = re.compile(r"[\W\d_]+")
+NO_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 
 
 def letters_of(text: str) -> bytes:
