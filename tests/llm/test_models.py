@@ -6,6 +6,7 @@ import math
 import sys
 import unicodedata
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
@@ -154,9 +155,11 @@ def test_fit_is_near_the_minimum_of_the_plain_loss():
     model = quality.fit(documents, grades)
     fitted = plain_loss(documents, grades, model.weights, list(model.thresholds))
     best, weights, thresholds = fitted, dict(model.weights), list(model.thresholds)
+    seen = Counter(int(f) for d in documents for f in d)
+    usable = sorted(f for f, n in seen.items() if quality.LEAST_DOCS <= n <= quality.MOST_SHARE * len(documents))
     for step in (0.2, 0.05):
         for _ in range(6):
-            for f in sorted({int(f) for d in documents for f in d}):
+            for f in usable:
                 for moved in (weights.get(f, 0.0) - step, weights.get(f, 0.0) + step):
                     if (loss := plain_loss(documents, grades, {**weights, f: moved}, thresholds)) < best:
                         best, weights = loss, {**weights, f: moved}

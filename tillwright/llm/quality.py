@@ -116,8 +116,16 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+# How much a step may raise the loss; momentum raises it a little at times.
+TOLERANCE = 1e-3
+
+
 def fit(documents: list[np.ndarray], grades: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> OrdinalModel:
-    """Proximal gradient with momentum on the mean negative log likelihood plus ``penalty`` times the L1 norm."""
+    """Proximal gradient with momentum on the mean negative log likelihood plus ``penalty`` times the L1 norm.
+
+    Weights and thresholds move together; a step that makes the loss worse is taken back and halved, and the best point
+    met is returned.
+    """
     counts = np.bincount(grades, minlength=GRADES)[:GRADES] + np.array(PRIOR)
     below = np.cumsum(counts)[:-1] / counts.sum()
     thresholds = np.log(below / (1 - below))
@@ -134,28 +142,38 @@ def fit(documents: list[np.ndarray], grades: np.ndarray, penalty: float = PENALT
     # Rare features get larger steps; the curvature of a feature grows with its number of documents.
     width = np.bincount(rows, minlength=len(documents)).max()
     rate = 4.0 * len(documents) / np.sqrt(seen * float(seen.max())) / max(1.0, np.sqrt(width))
-    weights, ahead, momentum = np.zeros(len(ids)), np.zeros(len(ids)), 1.0
     n = len(documents)
     at = np.arange(n)
+    ahead, ahead_edges, momentum, size = np.zeros(len(ids)), thresholds, 1.0, 1.0
+    best, best_edges = ahead, ahead_edges
+    weights, edges, least = ahead, ahead_edges, np.inf
     for _ in range(steps):
         scores = np.bincount(rows, weights=ahead[column], minlength=n)
-        upto = np.concatenate([np.zeros((n, 1)), _logistic(thresholds[None, :] - scores[:, None]), np.ones((n, 1))], axis=1)
+        upto = np.concatenate([np.zeros((n, 1)), _logistic(ahead_edges[None, :] - scores[:, None]), np.ones((n, 1))], axis=1)
         slope = upto * (1 - upto)
         chance = np.maximum(upto[at, grades + 1] - upto[at, grades], 1e-12)
+        loss = -np.log(chance).mean() + penalty * np.abs(ahead).sum()
+        if loss > least + TOLERANCE:
+            # Too far: go on from the best point with half the step and no momentum.
+            ahead, ahead_edges, momentum, size = best, best_edges, 1.0, size / 2
+            weights, edges, least = ahead, ahead_edges, np.inf
+            continue
+        if loss < least:
+            best, best_edges, least = ahead, ahead_edges, loss
         by_score = (slope[at, grades + 1] - slope[at, grades]) / chance / n
         gradient = np.bincount(column, weights=by_score[rows], minlength=len(ids))
-        moved = ahead - rate * gradient
-        following = np.sign(moved) * np.maximum(np.abs(moved) - rate * penalty, 0)
+        moved = ahead - size * rate * gradient
+        following = np.sign(moved) * np.maximum(np.abs(moved) - size * rate * penalty, 0)
+        pull = [np.sum(slope[:, k + 1] * ((grades == k) - 1.0 * (grades == k + 1)) / chance) / n for k in range(GRADES - 1)]
+        following_edges = np.sort(ahead_edges + size * np.array(pull))
         faster = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         if np.dot(ahead - following, following - weights) > 0:
             faster, momentum = 1.0, 1.0
-        ahead, weights = following + (momentum - 1) / faster * (following - weights), following
+        share = (momentum - 1) / faster
+        ahead, weights = following + share * (following - weights), following
+        ahead_edges, edges = np.sort(following_edges + share * (following_edges - edges)), following_edges
         momentum = faster
-        for k in range(GRADES - 1):
-            up = (grades == k) / chance
-            down = (grades == k + 1) / chance
-            thresholds[k] += 1.0 * np.sum(slope[:, k + 1] * (up - down)) / n
-        thresholds.sort()
+    weights, thresholds = best, best_edges
     used = np.flatnonzero(weights)
     return OrdinalModel(dict(zip(ids[used].tolist(), weights[used].tolist(), strict=True)), tuple(thresholds.tolist()))
 
