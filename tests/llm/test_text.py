@@ -158,3 +158,17 @@ BODY = "<h1>Title</h1><p>The whole story of the day.</p>"
 ])
 def test_layout_containers_are_not_aside(page):
     assert wrapper.main_text(parse(page), set()) == "Title The whole story of the day."
+
+
+def test_pages_of_many_levels(spark):
+    """Unclosed elements nest without end: the matching is the same as on the same pages of few levels."""
+    def page(levels: int, story: str) -> str:
+        return "<html><body><div class=x>Menu of the site</div>" + "<b>" * levels + f"<p>{story}</p><i>Ends here</i></body></html>"
+
+    rows = [(10 * levels + k, f"http://{levels}.org/{k}", page(levels, f"Story number {k}."), 1) for levels in (3, 5_000) for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, host int")
+    texts = {r["page_id"]: r["text"] for r in wrapper.extract_main_text(pages).collect()}
+    for k in range(8):
+        assert texts[30 + k] == texts[50_000 + k] and f"Story number {k}." in texts[30 + k] and "Menu" not in texts[30 + k]
+    deep = parse(page(5_000, "a"))
+    assert len(wrapper.tree_match(deep, wrapper._unpack_reference(wrapper._pack_reference(page(5_000, "b"))))) > 5_000

@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -38,6 +39,8 @@ CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 5
 # Tables of more cells than this are not kept for alignment; halves of the list are aligned on their own then.
 TABLE_CELLS = 160_000
 BROADCAST_HOSTS = 2_000
+# Calls of Python functions within each other: a few per level of a page. They take heap memory, not the thread's stack.
+MOST_CALLS = 10_000_000
 
 # Element names and words in class, id or role that mark what is not the article.
 ASIDE_TAGS = frozenset("nav header footer aside form button input select option dialog menu head".split()) | RAW
@@ -107,7 +110,11 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
 
     Children are aligned in order so that the number of matched nodes below is greatest; runs of equal children at
     both ends pair off first.
+
+    Scores are taken by functions that call each other level by level, directly and not through built-in functions, so
+    that a page may have as many levels as memory holds.
     """
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), MOST_CALLS))
     pairs, pending, sizes = [], [(a, b)], {}
     shapes, numbers = {}, {}
 
@@ -140,8 +147,8 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     def shape(node: Node) -> int:
         """Equal for subtrees of equal labels, which score alike."""
         if id(node) not in shapes:
-            key = (node.label, *map(shape, node.children))
-            shapes[id(node)] = numbers.setdefault(key, len(numbers))
+            below = [shape(child) for child in node.children]
+            shapes[id(node)] = numbers.setdefault((node.label, *below), len(numbers))
         return shapes[id(node)]
 
     def _middle(inner: list[Node], other: list[Node]) -> tuple[int, list[tuple[Node, Node]]]:
@@ -191,7 +198,9 @@ def tree_match(a: Node, b: Node) -> list[tuple[Node, Node]]:
             end += 1
         matched = list(zip(left[:start], right[:start], strict=True))
         tail = list(zip(left[len(left) - end :], right[len(right) - end :], strict=True))
-        total = sum(score(x, y) for x, y in matched + tail)
+        total = 0
+        for x, y in matched + tail:
+            total += score(x, y)
         inner, other = left[start : len(left) - end], right[start : len(right) - end]
         if inner and other:
             gained, middle = _middle(inner, other)
@@ -226,11 +235,25 @@ def _slots(root: Node) -> list[Node]:
 
 
 def _pack_reference(html: str) -> bytes:
-    """A reference page as a tree whose texts are digests."""
+    """A reference page as lists over its nodes (tag, label, text, number of the parent), texts being digests."""
     root = parse(html)
     for slot in _slots(root):
         slot.text = _digest(slot.text)
-    return zlib.compress(pickle.dumps(root), 1)
+    rows, pending = [], [(root, -1)]
+    while pending:
+        node, parent = pending.pop()
+        pending += [(child, len(rows)) for child in reversed(node.children)]
+        rows.append((node.tag, node.label, node.text, parent))
+    return zlib.compress(pickle.dumps(list(zip(*rows, strict=True))), 1)
+
+
+def _unpack_reference(packed: bytes) -> Node:
+    nodes: list[Node] = []
+    for tag, label, text, parent in zip(*pickle.loads(zlib.decompress(packed)), strict=True):
+        nodes.append(Node(tag, label, text))
+        if parent >= 0:
+            nodes[parent].children.append(nodes[-1])
+    return nodes[0]
 
 
 def _slot_numbers(root: Node) -> dict[int, int]:
@@ -343,7 +366,7 @@ def _trees(packed: list[dict], cache: dict) -> list[tuple[Node, dict[int, int]]]
     if key not in cache:
         if len(cache) > 200:
             cache.clear()
-        roots = [pickle.loads(zlib.decompress(reference["tree"])) for reference in packed]
+        roots = [_unpack_reference(reference["tree"]) for reference in packed]
         cache[key] = [(root, _slot_numbers(root)) for root in roots]
     return cache[key]
 
