@@ -129,3 +129,16 @@ def test_importance_sample_prefers_test_rows(series):
     split = series(range(10)).withColumn("is_train", F.col("date") < F.lit(date(2020, 1, 8)))
     assert sorted(r["revenue"] for r in treeshap.recent_rows(split, 5).collect()) == [7, 8, 9]
     assert sorted(r["revenue"] for r in treeshap.recent_rows(split.withColumn("is_train", F.lit(True)), 5).collect()) == [5, 6, 7, 8, 9]
+
+
+def test_looked_up_attributions_equal_the_definition():
+    rng = np.random.default_rng(1)
+    leaves = [treeshap.Leaf(2.5, [], [], [], [])]
+    for size in [1, 2, 3, 4, 5, 6] * 30:
+        bounds = np.sort(rng.normal(size=(size, 2)), axis=1)
+        features = rng.choice(13, size, replace=False).tolist()
+        leaves.append(treeshap.Leaf(float(rng.normal()), features, bounds[:, 0].tolist(), bounds[:, 1].tolist(), rng.random(size).tolist()))
+    values = rng.normal(size=(70, 13))
+    tables = treeshap.LeafTables(leaves, 13)
+    assert np.abs(tables(values) - treeshap.attributions(values, leaves)).max() < 1e-9
+    assert tables(values[:0]).shape == (0, 13) and not treeshap.LeafTables([], 13)(values).any()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import statistics
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tillwright.operators import profile, rfm
 from tillwright.operators.cleaning import clean_transactions
 from tillwright.operators.sampling import stratified_day_sample
+from tillwright.plans.first_value import first_values
 from tillwright.plans.ordered import running_total
 from tillwright.plans.selection import select_ranks
 from tillwright.plans.skew import join_key_facts
@@ -125,6 +127,33 @@ def test_quartiles_and_scores_sort_no_table(spark):
     assert profile.describe_numbers(rows.limit(0), ["recency"]).count() == 0
 
 
+def test_first_values_are_those_of_a_sort(spark):
+    """Ties in time and invoice, missing times, values and keys, a key with a third of all lines."""
+    rows = spark.range(900).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 31 == 1, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 40).cast("string"))).alias("key"),
+        F.when(F.col("id") % 5 != 2, F.concat(F.lit("v"), (F.col("id") * 7 % 11).cast("string"))).alias("value"),
+        F.when(F.col("id") % 97 != 4, F.timestamp_add("day", (F.col("id") * 13 % 9).cast("int"), F.lit("2011-01-01").cast("timestamp"))).alias("time"),
+        (F.col("id") * 31 % 6).cast("string").alias("invoice"),
+    )
+    got = {r["key"]: r["value"] for r in first_values(rows, "key", "value", "time", ["invoice"]).collect()}
+    kept = [r for r in rows.collect() if r["key"] is not None and r["value"] is not None]
+    order = lambda r: (r["time"] is not None, r["time"] or datetime.min, r["invoice"], r["value"])
+    want: dict = {}
+    for r in sorted(kept, key=order):
+        want.setdefault(r["key"], r["value"])
+    assert got == want and len(got) > 10
+
+
+def test_dimensions_sort_no_lines(spark, make_raw):
+    from tillwright.operators.segments import product_profile
+    from tillwright.sources import star
+
+    tx = clean_transactions(make_raw([("1", "A", "a", 1, "2011-01-01 09:00", 1.0, 1, "UK"), ("2", "A", "b", 1, "2011-01-02 09:00", 1.0, 1, "DE")]))
+    for made in (star.customers_dim(tx), star.products_dim(tx), product_profile(tx)):
+        assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert star.products_dim(tx).first()["description"] == "a" and star.customers_dim(tx).first()["country"] == "UK"
+
+
 @pytest.fixture(scope="module")
 def uneven(make_raw):
     """30 days of two lines, one day of 400 lines, with copies kept (no de-duplication)."""

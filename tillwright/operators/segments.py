@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import money, month_of, percent_of, positive, ratio, zero_if_null
-from tillwright.operators.kpi import measures_by
+from tillwright.operators.kpi import orders_by, rollup_orders
+from tillwright.plans.first_value import first_values
 from tillwright.plans.skew import join_key_facts
+from tillwright.plans.staging import stage
 
 # Weekday names in calendar order, Monday first.
 WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
@@ -72,6 +74,7 @@ def customer_revenue(tx: DataFrame) -> DataFrame:
 
 def concentration(members: DataFrame, member: str, sizes: Sequence[int] = (10, 20), metric: str = "revenue") -> DataFrame:
     """Revenue of the top n members and its share of the total, for each n in ``sizes``."""
+    members = stage(members.select(member, metric), "members")  # read for the total and for the leaders
     total = members.select(F.sum(metric)).scalar()
     leaders = members.orderBy(F.desc(metric), F.asc_nulls_last(member)).limit(max(sizes))
     place = F.row_number().over(Window.orderBy(F.desc(metric), F.asc_nulls_last(member)))  # at most max(sizes) rows
@@ -86,18 +89,13 @@ def concentration(members: DataFrame, member: str, sizes: Sequence[int] = (10, 2
 
 def product_profile(tx: DataFrame) -> DataFrame:
     """Per stock code: revenue, units of sale lines, orders, mean price and first non-null description."""
-    line = F.struct("invoice_ts", "invoice", "description")
-    return (
-        tx.filter(F.col("stock_code").isNotNull())
-        .groupBy("stock_code")
-        .agg(
-            money(F.sum("revenue")).alias("revenue"),
-            zero_if_null(F.sum(positive(F.col("quantity")))).alias("units_sold"),
-            F.count_distinct("invoice").alias("orders"),
-            ratio(F.sum("price"), F.count("price")).alias("average_price"),
-            F.min_by("description", F.when(F.col("description").isNotNull(), line)).alias("description"),
-        )
+    measures = tx.filter(F.col("stock_code").isNotNull()).groupBy("stock_code").agg(
+        money(F.sum("revenue")).alias("revenue"),
+        zero_if_null(F.sum(positive(F.col("quantity")))).alias("units_sold"),
+        F.count_distinct("invoice").alias("orders"),
+        ratio(F.sum("price"), F.count("price")).alias("average_price"),
     )
+    return measures.join(first_values(tx, "stock_code", "description", "invoice_ts", ["invoice"]), "stock_code", "left")
 
 
 def top_product_profiles(tx: DataFrame, by: str = "revenue", n: int = 10) -> DataFrame:
@@ -105,9 +103,13 @@ def top_product_profiles(tx: DataFrame, by: str = "revenue", n: int = 10) -> Dat
 
 
 def country_profile(tx: DataFrame) -> DataFrame:
-    """Measures per country (units of sale lines) and the percentage of revenue, largest first."""
-    measures = measures_by(tx, {"country": F.col("country")}, units="sold")
-    total = tx.filter(F.col("country").isNotNull()).select(money(F.sum("revenue"))).scalar()
+    """Measures per country (units of sale lines) and the percentage of revenue, largest first.
+
+    The orders are staged: they are far fewer than the lines, and the total is the sum of their exact revenues.
+    """
+    orders = stage(orders_by(tx, {"country": F.col("country")}, "sold").dropna(subset=["country"]), "country-orders")
+    total = orders.select(money(F.sum("_revenue"))).scalar()
+    measures = rollup_orders(orders, "country")
     return measures.withColumn("revenue_share_pct", percent_of(F.col("revenue"), total)).orderBy(
         F.desc("revenue"), "country"
     )

@@ -23,6 +23,8 @@ from tillwright.plans.staging import shared_path
 
 # Rows that one task explains at least.
 ROWS_PER_TASK = 256
+# Comparisons of rows with path features made at once.
+CELLS_AT_ONCE = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -84,7 +86,7 @@ def base_value(leaves: list[Leaf]) -> float:
 
 
 def attributions(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
-    """Attribution per row and feature.
+    """Attribution per row and feature, leaf by leaf: the definition that ``LeafTables`` holds ready.
 
     For a path feature i, the coalition sum over the other path features is the polynomial product of
     (cover_j + follows_j * x); its coefficient of x^s is the weight of coalitions of size s.
@@ -96,29 +98,75 @@ def attributions(values: np.ndarray, leaves: list[Leaf]) -> np.ndarray:
             continue
         columns = values[:, leaf.features]
         follows = ((columns > leaf.low) & (columns <= leaf.high)).astype(float)
+        shares = _shares(follows, np.array(leaf.cover)[None, :], np.array([leaf.value]))
         for i, feature in enumerate(leaf.features):
-            poly = np.zeros((size, len(values)))
-            poly[0] = 1.0
-            for count, j in enumerate(k for k in range(size) if k != i):
-                grown = poly * leaf.cover[j]
-                grown[1:count + 2] += poly[:count + 1] * follows[:, j]
-                poly = grown
-            weights = np.array([factorial(s) * factorial(size - 1 - s) / factorial(size) for s in range(size)])
-            out[:, feature] += leaf.value * (follows[:, i] - leaf.cover[i]) * (weights @ poly)
+            out[:, feature] += shares[:, i]
     return out
 
 
+def _shares(follows: np.ndarray, cover: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """What a leaf gives to each of its path features, for many patterns of which of them a row follows."""
+    size = follows.shape[1]
+    weights = np.array([factorial(s) * factorial(size - 1 - s) / factorial(size) for s in range(size)])
+    out = np.empty(np.broadcast_shapes(follows.shape, cover.shape))
+    for i in range(size):
+        poly = np.zeros((size, len(out)))
+        poly[0] = 1.0
+        for count, j in enumerate(k for k in range(size) if k != i):
+            grown = poly * cover[:, j]
+            grown[1 : count + 2] += poly[: count + 1] * follows[:, j]
+            poly = grown
+        out[:, i] = value * (follows[:, i] - cover[:, i]) * (weights @ poly)
+    return out
+
+
+class LeafTables:
+    """Attributions of a model, looked up.
+
+    Which of its at most six path features a row follows is a bit pattern per leaf. A leaf's shares for every pattern
+    are computed once per model; a row is then as many comparisons as its leaves have features, one lookup per leaf,
+    and sums. Leaves of equal size are handled together.
+    """
+
+    def __init__(self, leaves: list[Leaf], features: int):
+        self.features, self.groups = features, []
+        for size in sorted({len(leaf.features) for leaf in leaves} - {0}):
+            own = [leaf for leaf in leaves if len(leaf.features) == size]
+            patterns = (np.arange(1 << size)[:, None] >> np.arange(size)) & 1
+            cover = np.repeat(np.array([leaf.cover for leaf in own]), len(patterns), axis=0)
+            value = np.repeat([leaf.value for leaf in own], len(patterns))
+            shares = _shares(np.tile(patterns, (len(own), 1)).astype(float), cover, value)
+            self.groups.append((
+                np.array([leaf.features for leaf in own]), np.array([leaf.low for leaf in own]), np.array([leaf.high for leaf in own]),
+                shares, np.arange(len(own)) * len(patterns), 1 << np.arange(size),
+            ))
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(values), self.features))
+        for columns, low, high, shares, offset, bit in self.groups:
+            rows = max(1, CELLS_AT_ONCE // columns.size)
+            for at in range(0, len(values), rows):
+                part = values[at : at + rows][:, columns]
+                pattern = ((part > low) & (part <= high)) @ bit
+                given = shares[pattern + offset]
+                place = np.arange(len(part))[:, None, None] * self.features + columns
+                out[at : at + rows] += np.bincount(place.ravel(), given.ravel(), len(part) * self.features).reshape(-1, self.features)
+        return out
+
+
 def tree_shap(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """date, base_value and one attribution column per feature; they add up to the model's prediction.
 
-    Every task walks all leaves, so rows are spread over a few tasks only.
+    The leaves are sent once to each executor; a task builds their tables once for all its rows.
     """
     leaves = model_leaves(model)
     start = base_value(leaves)
+    shared = rows.sparkSession.sparkContext.broadcast(leaves)
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = LeafTables(shared.value, len(FEATURES))
         for batch in batches:
-            found = pd.DataFrame(attributions(batch[FEATURES].to_numpy(dtype=float), leaves), columns=FEATURES)
+            found = pd.DataFrame(tables(batch[FEATURES].to_numpy(dtype=float)), columns=FEATURES)
             found.insert(0, "base_value", start)
             found.insert(0, "date", batch["date"].to_numpy())
             yield found

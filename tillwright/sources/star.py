@@ -9,29 +9,20 @@ from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import money
 from tillwright.operators.kpi import period_metrics
+from tillwright.plans.first_value import first_values
 
 
 def customers_dim(tx: DataFrame) -> DataFrame:
     """Known customers with their first purchase time and the country of their earliest line that names one."""
-    line = F.struct("invoice_ts", "invoice", "stock_code")
-    return (
-        tx.filter(F.col("customer_id").isNotNull())
-        .groupBy("customer_id")
-        .agg(
-            F.min("invoice_ts").alias("first_purchase_date"),
-            F.min_by("country", F.when(F.col("country").isNotNull(), line)).alias("country"),
-        )
-    )
+    since = tx.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.min("invoice_ts").alias("first_purchase_date"))
+    countries = first_values(tx, "customer_id", "country", "invoice_ts", ["invoice", "stock_code"])
+    return since.join(countries, "customer_id", "left")
 
 
 def products_dim(tx: DataFrame) -> DataFrame:
     """One row per stock code with the description of its earliest line ('' where that line has none)."""
-    description = F.coalesce("description", F.lit(""))
-    return (
-        tx.filter(F.col("stock_code").isNotNull())
-        .groupBy("stock_code")
-        .agg(F.min_by(description, F.struct("invoice_ts", "invoice", description)).alias("description"))
-    )
+    filled = tx.withColumn("description", F.coalesce("description", F.lit("")))
+    return first_values(filled, "stock_code", "description", "invoice_ts", ["invoice"])
 
 
 def transactions_fact(tx: DataFrame) -> DataFrame:
