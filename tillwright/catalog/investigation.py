@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tillwright.catalog.anomaly import T_TEST
 from tillwright.catalog.base import register, stored
+from tillwright.functions.variant_rows import value_rows
 from tillwright.operators import contribution as c
 from tillwright.operators import evidence as e
 from tillwright.plans.investigate import flagged_days, investigate
@@ -232,6 +233,48 @@ register(
 )
 
 
+def _values_sql():
+    """Every leaf of the context: (path, condition, text, number) of the summary, and of the findings."""
+    text, number = "cast({c} AS VARCHAR), NULL", "NULL, CASE WHEN isfinite(cast({c} AS DOUBLE)) THEN cast({c} AS DOUBLE) END"
+    parts = {
+        "investigation": ("true", {"anomaly_date": (text, "anomaly_date"), "severity": (text, "severity"), **{
+            c: (number, c) for c in ("actual_revenue", "expected_revenue", "revenue_deviation", "revenue_deviation_pct", "z_score")}}),
+        "root_causes.product": ("product_revenue IS NOT NULL", {
+            "stock_code": (text, "stock_code"), "description": (text, "description"), "revenue": (number, "product_revenue"), "contribution_pct": (number, "product_pct")}),
+        "root_causes.customer": ("customer_id IS NOT NULL", {
+            "customer_id": (number, "customer_id"), "revenue": (number, "customer_revenue"), "contribution_pct": (number, "customer_pct")}),
+        "root_causes.country": ("country_revenue IS NOT NULL", {
+            "country": (text, "country"), "revenue": (number, "country_revenue"), "contribution_pct": (number, "country_pct")}),
+        "root_causes.time": ("hour IS NOT NULL", {"hour": (number, "hour"), "revenue": (number, "hour_revenue"), "contribution_pct": (number, "hour_pct")}),
+        "intersection": ("joint_rows IS NOT NULL", {
+            "revenue": (number, "joint_revenue"), "units_sold": (number, "joint_units"), "orders": (number, "joint_orders"), "transaction_rows": (number, "joint_rows")}),
+    }
+    rows = []
+    for name, (present, fields) in parts.items():
+        rows += [f"SELECT date, '{name}.{field}' AS path, {form.format(c=c)} FROM summary WHERE {present}" for field, (form, c) in fields.items()]
+        rows.append(f"SELECT date, '{name}', NULL, NULL FROM summary WHERE NOT ({present})")
+    for field in ("evidence_type", "dimension", "identifier", "finding", "impact", "strength", "strength_score", "evidence_rank"):
+        form = number if field in ("strength_score", "evidence_rank") else text
+        rows.append(f"SELECT date, 'evidence[' || (evidence_rank - 1) || '].{field}', {form.format(c=field)} FROM ranked")
+    body = "\nUNION ALL ".join(rows)
+    return f"SELECT date, path, text, number FROM (SELECT NULL::DATE, '', NULL::VARCHAR, NULL::DOUBLE WHERE false\nUNION ALL {body}) t(date, path, text, number)"
+
+
+def _report_values(spark, folder):
+    return value_rows(investigate(stored(spark, folder)).report.withColumn("body", F.struct(
+        "investigation", "root_causes", "intersection", "evidence")), F.col("body"), "date")
+
+
+def _context_values(spark, folder):
+    """The JSON inside the prompts, taken apart again."""
+    prompts = investigate(stored(spark, folder)).prompts
+    return value_rows(prompts, F.substring_index("prompt", "Evidence:\n", -1), "date")
+
+
+for _name, _query in (("report_values", _report_values), ("explanation_context_values", _context_values)):
+    register(_name, "date:d path:s text:s number:r", _query, _values_sql(), views="scored", helpers=LEADERS)
+
+
 def _line_counts(spark, folder):
     finding = F.when(F.col("label") == "Finding", F.col("value"))
     return investigate(stored(spark, folder)).lines.groupBy("date").agg(
