@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillwright.operators import profile, rfm
 from tillwright.operators.cleaning import clean_transactions
-from tillwright.operators.sampling import stratified_day_sample
+from tillwright.operators.sampling import _first_by_draw, stratified_day_sample
 from tillwright.plans.first_value import first_values
 from tillwright.plans.ordered import running_total
 from tillwright.plans.selection import select_ranks
@@ -181,6 +181,22 @@ def test_large_quota_path_draws_the_same_sample(uneven, monkeypatch, target):
     assert drawn() == ranked
 
 
+def test_crowded_boundaries_are_refined(spark, uneven, monkeypatch):
+    def drawn():
+        return sorted(map(str, stratified_day_sample(uneven, 100).collect()))
+
+    usual = drawn()
+    monkeypatch.setattr("tillwright.operators.sampling.GROUP_LIMIT", 0)
+    monkeypatch.setattr("tillwright.operators.sampling.BOUNDARY_ROWS", 0)
+    monkeypatch.setattr("tillwright.operators.sampling.HASH_BUCKET_BITS", 32)
+    assert drawn() == usual
+    # Draws that agree in their first bits, and some in all of them.
+    draws = [(1, k // 3 - 20, k) for k in range(90)] + [(2, -(1 << 62) + k * k, k) for k in range(40)]
+    lines = spark.createDataFrame(draws, "g int, a bigint, b bigint").select("g", F.struct("a", "b").alias("_draw"))
+    got = sorted((r["g"], *r["_draw"]) for r in _first_by_draw(lines, 25, "g", 0).collect())
+    assert got == sorted(sorted(d for d in draws if d[0] == 1)[:25] + sorted(d for d in draws if d[0] == 2)[:25])
+
+
 def test_sample_of_distinct_lines(uneven):
     assert stratified_day_sample(uneven.dropDuplicates(), 80, distinct=True).count() == 80
 

@@ -7,7 +7,7 @@ from tillwright.catalog.base import clean, on_clean, on_raw, raw, register, stor
 from tillwright.functions.json_safe import json_safe
 from tillwright.operators import cleaning
 from tillwright.operators.sampling import stratified_day_sample
-from tillwright.plans.staging import shared_path
+from tillwright.plans.staging import shared_path, stage
 from tillwright.sources import star
 from tillwright.sources.transactions import (
     FILE_COLUMNS,
@@ -331,6 +331,28 @@ FROM per_day""",
 )
 
 
+def _sample_days(spark, folder, target=5_000):
+    """Per day: lines in all, and whether its sampled lines are lines of the source, each once, and reach the quota."""
+    lines = stored(spark, folder)
+    sample = stage(stratified_day_sample(lines, target, seed=42, distinct=True), "sample")
+    day = F.to_date("invoice_ts").alias("date")
+    whole = lines.groupBy(day).agg(F.count(F.lit(1)).alias("lines"))
+    quota = max(1, target // whole.count())
+    drawn = sample.groupBy(day).agg(F.count(F.lit(1)).alias("drawn"))
+    # Both sides have the same columns; lines of the clean set are distinct, so equal lines meet once.
+    met = lines.intersect(sample).groupBy(day).agg(F.count(F.lit(1)).alias("met"))
+    return whole.join(drawn, "date", "left").join(met, "date", "left").select(
+        "date", "lines", (F.col("met") == F.col("drawn")).alias("from_source"),
+        (F.col("drawn") >= F.least(F.col("lines"), F.lit(quota))).alias("quota_met"))
+
+
+register(
+    "stratified_day_sample_days", "date:d lines:n from_source:b quota_met:b", _sample_days,
+    "SELECT date, n AS lines, true AS from_source, true AS quota_met FROM per_day",
+    helpers="per_day AS (SELECT cast(invoice_ts AS DATE) AS date, count(*) AS n FROM clean GROUP BY 1)",
+)
+
+
 # --- cleaning steps -------------------------------------------------------------------------------------------------
 
 def _text(spark, folder):

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import day_of
+from tillwright.plans.staging import stage
 
 COPY_CHUNK = 1_000
 HASH_BUCKET_BITS = 16
+# Rows of one group that are ranked in a task at most (but for draws that are equal in all their 64 bits).
+BOUNDARY_ROWS = 100_000
 # Largest rank limit that Spark applies inside tasks by default.
 GROUP_LIMIT = 1_000
 
@@ -41,33 +46,38 @@ def _numbered_lines(tx: DataFrame, seed: int, distinct: bool) -> DataFrame:
     )
 
 
-def _first_by_draw(lines: DataFrame, wanted: int, group: str) -> DataFrame:
+def _first_by_draw(lines: DataFrame, wanted: int, group: str, boundary_rows: int | None = None) -> DataFrame:
     """Exactly the ``wanted`` rows of each group with the smallest draw, without ranking whole groups.
 
     A histogram over the leading bits of the draw (a fixed number of buckets per group) finds the bucket in which a
-    group reaches the wanted count. Earlier buckets are taken whole; only the boundary bucket, a tiny fraction of a
-    large group, is ranked. ``group`` has at most one value per calendar day, so the boundaries can be broadcast.
+    group reaches the wanted count. Earlier buckets are taken whole; the rows of the boundary bucket are staged and
+    looked at by the next bits, until no group has more than ``boundary_rows`` of them left, and only those are ranked.
+    ``group`` has at most one value per calendar day, so the boundaries can be broadcast.
     """
-    bucketed = lines.withColumn("_bucket", F.shiftright(F.col("_draw.a"), 64 - HASH_BUCKET_BITS))
+    most = BOUNDARY_ROWS if boundary_rows is None else boundary_rows
+    left, taken = lines.withColumn("_need", F.lit(wanted).cast("bigint")), []
     before = Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    boundary = (
-        bucketed.groupBy(group, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .filter(F.col("_before") < wanted)
-        .groupBy(group)
-        .agg(F.max("_bucket").alias("_edge"), F.max("_before").alias("_before"))
-    )
-    near = bucketed.join(F.broadcast(boundary), group).filter(F.col("_bucket") <= F.col("_edge"))
-    whole = near.filter(F.col("_bucket") < F.col("_edge"))
+    for used in range(0, 64, HASH_BUCKET_BITS):
+        # The first bits keep the sign, by which draws are ordered; the bits behind them have none.
+        shift = F.shiftright if used == 0 else F.shiftrightunsigned
+        bucketed = left.withColumn("_bucket", shift(F.shiftleft(F.col("_draw.a"), used), 64 - HASH_BUCKET_BITS))
+        boundary = stage(
+            bucketed.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_rows"), F.max("_need").alias("_wanted"))
+            .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+            .filter(F.col("_before") < F.col("_wanted"))
+            .groupBy(group)
+            .agg(F.max("_bucket").alias("_edge"), F.max("_before").alias("_before"), F.max_by("_rows", "_bucket").alias("_there")),
+            "boundary",
+        )
+        near = bucketed.join(F.broadcast(boundary), group).filter(F.col("_bucket") <= F.col("_edge"))
+        taken.append(near.filter(F.col("_bucket") < F.col("_edge")).select(*lines.columns))
+        left = near.filter(F.col("_bucket") == F.col("_edge")).select(*lines.columns, (F.col("_need") - F.col("_before")).alias("_need"))
+        if (boundary.select(F.max("_there")).first()[0] or 0) <= most:
+            break
+        left = stage(left, "boundary-rows")
     place = F.row_number().over(Window.partitionBy(group).orderBy("_draw"))
-    part = (
-        near.filter(F.col("_bucket") == F.col("_edge"))
-        .withColumn("_place", place)
-        .filter(F.col("_place") <= F.lit(wanted) - F.col("_before"))
-        .drop("_place")
-    )
-    return whole.unionByName(part).select(*lines.columns)
+    taken.append(left.withColumn("_place", place).filter(F.col("_place") <= F.col("_need")).select(*lines.columns))
+    return reduce(lambda a, b: a.unionByName(b), taken)
 
 
 def stratified_day_sample(tx: DataFrame, target_rows: int, seed: int = 42, distinct: bool = False) -> DataFrame:
