@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tillwright.catalog.base import clean, daily, register, stored
 from tillwright.operators import forecast as f
+from tillwright.operators import series_forecast as series
 from tillwright.operators import treeshap
 from tillwright.operators.kpi import daily_metrics
 from tillwright.plans.staging import once, stage
@@ -257,3 +258,72 @@ register(
     ) + ") ORDER BY importance DESC, feature LIMIT 10",
     views="daily", helpers=DENSE + ",\nrecent AS (SELECT * FROM split WHERE NOT is_train ORDER BY date DESC LIMIT 100)",
 )
+
+
+# --- many series by one model -----------------------------------------------------------------------------------------
+COUNTRY = ("country",)
+
+
+def _series_flow(spark, folder) -> dict:
+    """Rows per country, their split, the predictions of the pooled model and the forecasts of every country, run once."""
+
+    def run() -> dict:
+        tx = stored(spark, folder)
+        rows = stage(f.feature_rows(stage(daily_metrics(tx, COUNTRY), "daily-by-country"), keys=COUNTRY), "features-by-country")
+        split = stage(series.split_series(f.training_rows(rows), COUNTRY), "split-by-country")
+        model = series.train_pooled(split, COUNTRY)
+        return {
+            "split": split, "predictions": stage(series.predict_series(model, split), "predictions-by-country"),
+            "future": stage(series.forecast_series(model, rows, "future"), "forecasts-by-country"),
+            "levels": model.levels,
+        }
+
+    return once(spark, ("series-flow", folder), run)
+
+
+BY_COUNTRY = """days AS (
+ SELECT country, cast(invoice_ts AS DATE) AS date, cast(sum(revenue) AS DOUBLE) AS revenue FROM clean WHERE country IS NOT NULL GROUP BY 1, 2),
+ends AS (SELECT country, min(date) AS a, max(date) AS b FROM days GROUP BY 1),
+calendar AS (SELECT country, cast(unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY)) AS DATE) AS date FROM ends),
+dense AS (SELECT c.country, c.date, coalesce(revenue, 0) AS revenue FROM calendar c LEFT JOIN days d ON d.country = c.country AND d.date = c.date),
+placed AS (
+ SELECT country, date, row_number() OVER (PARTITION BY country ORDER BY date) AS nth, count(*) OVER (PARTITION BY country) AS n,
+  sum(revenue) OVER (PARTITION BY country ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING) AS target FROM dense),
+usable AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date) AS place, count(*) OVER (PARTITION BY country) AS size
+ FROM placed WHERE nth > 30 AND nth <= n - 7),
+marked AS (SELECT *, place <= 8 * size // 10 AS is_train FROM usable)"""
+register(
+    "series_levels", "country:s days:n level:r", lambda spark, folder: _series_flow(spark, folder)["levels"],
+    "SELECT country, count(*) AS days, avg(target) AS level FROM marked WHERE is_train GROUP BY 1 HAVING count(*) >= 20 AND avg(target) > 0",
+    helpers=BY_COUNTRY,
+)
+register(
+    "series_evaluation", "country:s train_rows:n test_rows:n ordered_errors:b near_naive_or_better:b",
+    lambda spark, folder: series.evaluate_series(_series_flow(spark, folder)["predictions"], COUNTRY).withColumns({
+        "ordered_errors": F.col("rmse") >= F.col("mae"), "near_naive_or_better": F.col("rmse") < 1.1 * F.col("naive_rmse")}),
+    """SELECT country, count(*) FILTER (WHERE is_train) AS train_rows, count(*) FILTER (WHERE NOT is_train) AS test_rows,
+ true AS ordered_errors, true AS near_naive_or_better FROM marked GROUP BY 1""",
+    helpers=BY_COUNTRY,
+)
+
+
+def _series_forecasts(spark, folder):
+    """Forecasts of the last day of each country, near the range of its targets."""
+    flow = _series_flow(spark, folder)
+    ranges = flow["split"].groupBy(*COUNTRY).agg(F.min(f.TARGET).alias("low"), F.max(f.TARGET).alias("high"))
+    slack = (F.col("high") - F.col("low")) / 4 + 1
+    inside = F.col(f.TARGET).between(F.col("low") - slack, F.col("high") + slack)
+    return flow["future"].join(ranges, list(COUNTRY), "left").select("country", "based_on_date", inside.alias("in_range"))
+
+
+register(
+    "series_forecast", "country:s based_on_date:d in_range:b", _series_forecasts,
+    "SELECT country, max(date) AS based_on_date, true AS in_range FROM dense GROUP BY 1 HAVING count(*) > 30", helpers=BY_COUNTRY,
+)
+register(
+    "series_history", "country:s date:d actual:c",
+    lambda spark, folder: series.history_of_series(_series_flow(spark, folder)["predictions"], COUNTRY, 10),
+    """SELECT country, date, target AS actual FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date DESC) AS back
+ FROM marked WHERE NOT is_train) WHERE back <= 10""",
+    helpers=BY_COUNTRY,
+)

@@ -19,16 +19,22 @@ def _schema(path: str, session: str) -> StructType:
     return SparkSession.active().read.parquet(path).schema
 
 
+@cache
+def _splits(path: str, session: str) -> int:
+    """Splits of a table's scan, planned once per session instead of once per query."""
+    return SparkSession.active().read.schema(_schema(path, session)).parquet(path).rdd.getNumPartitions()
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}.parquet"
     return spark.read.schema(_schema(path, spark.sparkContext.applicationId)).parquet(path)
 
 
-def _spread(scan: DataFrame, *keys: str) -> DataFrame:
+def _spread(scan: DataFrame, splits: int, *keys: str) -> DataFrame:
     """Deal out a scan that has fewer splits than there are cores, as spark.sql.files.minPartitionNum would if it
     could split a row group. Tables stored in more splits than cores are never moved, whatever their size."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *keys) if splits < cores else scan
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,9 +42,10 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
         return _table(spark, folder, name)
 
     c = F.col
+    splits = _splits(f"{folder}/lineitem.parquet", spark.sparkContext.applicationId)
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
     lines = (
-        _spread(table("lineitem").select(*columns), "l_orderkey", "l_partkey")
+        _spread(table("lineitem").select(*columns), splits, "l_orderkey", "l_partkey")
         .join(table("orders"), c("l_orderkey") == c("o_orderkey"))
         .join(table("part"), c("l_partkey") == c("p_partkey"))
         .join(table("customer"), c("o_custkey") == c("c_custkey"))
