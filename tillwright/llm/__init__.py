@@ -1,4 +1,4 @@
-"""Preparation of training corpora: ten operators over documents, pages, conversations and benchmarks.
+"""Preparation of training corpora: thirteen operators over documents, pages, conversations, embeddings and benchmarks.
 
 Nothing else in the library imports this subpackage. Operators take DataFrames; ``queries`` binds them to the tables.
 """

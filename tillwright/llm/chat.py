@@ -1,4 +1,4 @@
-r"""Chat formatting with a grammar round trip, in DataFrame expressions only.
+""""Chat formatting with a grammar round trip, in DataFrame expressions only.
 
 A conversation is rendered as ``<s>`` level, then per turn ``[INST]`` role, line break, text, ``</s>``. A deterministic
 parser cuts the rendered text at control strings (``<s> </s> [INST] [/INST]``), takes the pieces between as the grammar
@@ -10,6 +10,8 @@ undone by the parser, and the round trip is checked again; a conversation that f
 The output keeps segments with a flag: the formatted text is their concatenation, the loss mask covers the texts of
 assistant turns. Turns are ordered by turn number (null first), role and text; repeated rows are kept. Null roles and
 texts are empty; a null conversation id is one conversation. An empty table gives no rows. Other columns are ignored.
+
+Texts of any length are one value each and are never cut; a conversation has to fit into one row.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ document, so reordered passages are caught like moved ones.
 The benchmark goes to the tasks in blocks of a bounded number of words; every document meets every block. Items shorter than
 ``MIN_MATCH`` words match as a whole. Null and wordless items and texts match nothing. Null ids and repeated rows are
 kept. Empty tables give no rows. Other columns are ignored (``drop_contaminated`` returns those of the documents).
+
+Among matches of equal length the first in the document, then in the item, is tiled first.
 """
 
 from __future__ import annotations

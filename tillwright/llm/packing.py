@@ -6,6 +6,9 @@ patterns instead of single packs. Pieces then find their sequence by their rank
 
 Null texts are empty documents (the end id only); null and repeated ids are kept. An empty table gives no rows.
 Other columns of the input are ignored.
+
+Very long texts are cut into pieces of a whole sequence. Pieces of equal length take their places by task and by their order
+in it, so ties depend on how the rows are dealt out; every placing has the same number of sequences.
 """
 
 from __future__ import annotations

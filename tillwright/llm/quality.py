@@ -12,6 +12,8 @@ few weights remain, so any text is scored by looking up its words.
 Null texts are empty texts. Labels with a null are ignored; without labels nothing is known and all is selected.
 Rows with null or repeated ids are scored like any other. An empty table gives no rows. Other columns are ignored
 (``select_good`` returns them).
+
+Very long texts are scored whole, by their different words. Labels that tie for the sample are drawn by a hash, then by id.
 """
 
 from __future__ import annotations

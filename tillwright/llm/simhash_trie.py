@@ -9,6 +9,8 @@ exceeded. A task keeps a spanning forest of the links it finds; components come
 Null and blank texts have no words: their fingerprint is zero and they are linked like any other. Null ids are kept
 and never name a component that has another id. Repeated rows are kept, one row out per row in. An empty table gives
 no rows. Other columns of the input are ignored (``keep_one_per_group`` returns them).
+
+Very long texts are fingerprinted whole, a bounded number of shingles at a time. A bit that half the hashes have is 0.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ depends on the content alone. Order and repetition of paragraphs don't count, bl
 
 Null texts are empty. Null ids come first in the order of documents; rows with equal ids are ordered by text. A single
 document is its own next one. An empty table gives no rows. Other columns of the input are ignored.
+
+Very long texts are cut into paragraphs in their own row.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ file ``read_tokens`` decodes shards, ``token_counts`` and ``occurrences`` answer
 
 Null texts are empty documents (the end id only). Null ids come first. Rows with equal ids are kept, ordered by text.
 An empty table gives no shards. Other columns of the input are ignored.
+
+A text longer than a shard makes a larger shard; texts of any length are encoded in one task.
 """
 
 from __future__ import annotations

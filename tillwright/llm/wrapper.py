@@ -13,6 +13,9 @@ The votes are sums per host and slot, combined in the tasks before they are move
 to the pages by a join on the host, broadcast only below a checked size. A host with few distinct pages has no template
 slots. Copies of a page vote once. Null or empty html gives an empty text; a null url is a host of its own. Rows with
 equal ids are kept. An empty table gives no rows. Other columns are ignored.
+
+Very long and very deep pages take memory in proportion to their nodes. Of pages
+with equal content one may be a reference.
 """
 
 from __future__ import annotations
