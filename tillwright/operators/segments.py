@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwright.functions.scalar import money, month_of, percent_of, positive, ratio, zero_if_null
-from tillwright.operators.kpi import orders_by, rollup_orders
+from tillwright.operators.kpi import measures_by, orders_by, rollup_orders
 from tillwright.plans.first_value import first_values
 from tillwright.plans.skew import join_key_facts
 from tillwright.plans.staging import stage
