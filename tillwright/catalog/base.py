@@ -16,9 +16,8 @@ from pyspark.sql import functions as F
 
 from tillwright.operators import kpi
 from tillwright.operators.cleaning import clean_transactions
-from tillwright.plans.staging import once, shared_path
+from tillwright.plans.staging import once, stage
 from tillwright.sources.retail_tables import raw_transactions
-from tillwright.sources.transactions import write_clean
 
 RAW_SQL = """
 base AS (
@@ -158,14 +157,11 @@ def clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
-    """The clean set as the load step leaves it, partitioned by month, written once per folder and application."""
+    """The clean set, written once per folder and application as it was computed.
 
-    def load() -> DataFrame:
-        path = shared_path(spark, "clean-set")
-        write_clean(clean(spark, folder), path)
-        return spark.read.parquet(path)
-
-    return once(spark, ("clean", folder), load)
+    Not by month, as the load step leaves it: that would shuffle every line again for queries that read it all anyway.
+    """
+    return once(spark, ("clean", folder), lambda: stage(clean(spark, folder), "clean-set"))
 
 
 def daily(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,36 +38,53 @@ def _spread(scan: DataFrame, splits: int, *keys: str) -> DataFrame:
 
 
 def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines with their irregularities.
+
+    Lines meet their orders by invoice, after every other join: where the tables are too large to broadcast, the result
+    is then partitioned by a column of its own, and what groups by whole lines or by invoices shuffles nothing again.
+    An order has a row for either form of its invoice number; customers and countries are joined to orders, which are few.
+    """
     def table(name: str) -> DataFrame:
         return _table(spark, folder, name)
 
     c = F.col
     splits = _splits(f"{folder}/lineitem.parquet", spark.sparkContext.applicationId)
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
-    lines = (
-        _spread(table("lineitem").select(*columns), splits, "l_orderkey", "l_partkey")
-        .join(table("orders"), c("l_orderkey") == c("o_orderkey"))
-        .join(table("part"), c("l_partkey") == c("p_partkey"))
-        .join(table("customer"), c("o_custkey") == c("c_custkey"))
-        .join(table("nation"), c("c_nationkey") == c("n_nationkey"))
-    )
     cancelled = (c("l_returnflag") == "R") & (c("l_linenumber") % 4 == 0)
     returned = (c("l_returnflag") == "A") & (c("l_linenumber") == 7)
-    hour = (c("l_orderkey") % 12 + 8).cast("int")
     quantity = F.when(cancelled | returned, -c("l_quantity")).otherwise(c("l_quantity"))
     price = c("l_extendedprice").cast("decimal(12,2)")
-    copies = F.when(c("l_orderkey") % 50 == 0, 2).otherwise(1)
-    return lines.select(
-        F.concat(F.when(cancelled, "C").otherwise(""), c("l_orderkey").cast("string")).alias("invoice"),
+    lines = (
+        _spread(table("lineitem").select(*columns), splits, "l_orderkey", "l_partkey")
+        .join(table("part").select("p_partkey", "p_name"), c("l_partkey") == c("p_partkey"))
+        .select(
+            F.concat(F.when(cancelled, "C").otherwise(""), c("l_orderkey").cast("string")).alias("invoice"),
+            "l_partkey", "p_name",
+            quantity.cast("bigint").alias("quantity"),
+            F.when(c("l_partkey") % 53 == 0, F.lit(0).cast("decimal(12,2)")).otherwise(price).alias("price"),
+        )
+    )
+    hour = (c("o_orderkey") % 12 + 8).cast("int")
+    orders = (
+        table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        .join(table("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey"))
+        .join(table("nation").select("n_nationkey", "n_name"), c("c_nationkey") == c("n_nationkey"))
+        .select(
+            (c("o_orderdate") + F.make_dt_interval(hours=hour)).alias("invoice_ts"),
+            F.when(c("o_custkey") % 7 != 0, c("o_custkey")).alias("customer_id"),
+            c("n_name").alias("country"), "o_orderkey",
+            F.explode(F.array(F.lit(""), F.lit("C"))).alias("_prefix"),
+        )
+        .withColumn("_invoice", F.concat("_prefix", c("o_orderkey").cast("string")))
+    )
+    copies = F.when(c("o_orderkey") % 50 == 0, 2).otherwise(1)
+    return lines.join(orders, c("invoice") == c("_invoice")).select(
+        "invoice",
         c("l_partkey").cast("string").alias("stock_code"),
         F.when(c("l_partkey") % 97 == 0, None)
         .when(c("l_partkey") % 89 == 0, " Adjust bad debt ")
         .otherwise(c("p_name"))
         .alias("description"),
-        quantity.cast("bigint").alias("quantity"),
-        (c("o_orderdate") + F.make_dt_interval(hours=hour)).alias("invoice_ts"),
-        F.when(c("l_partkey") % 53 == 0, F.lit(0).cast("decimal(12,2)")).otherwise(price).alias("price"),
-        F.when(c("o_custkey") % 7 != 0, c("o_custkey")).alias("customer_id"),
-        c("n_name").alias("country"),
+        "quantity", "invoice_ts", "price", "customer_id", "country",
         F.explode(F.sequence(F.lit(1), copies)).alias("_copy"),
     ).drop("_copy")
