@@ -234,3 +234,17 @@ def test_pipeline_on_odd_tables(spark, documents, no_documents, folder):
             docs = stage(spark, docs, folder)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert (docs.count() > 0) == (start is documents)
+
+
+def test_fit_holds_few_times_its_entries():
+    """The fit runs on the driver, so its peak is bounded per feature entry (8 bytes each as given)."""
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    documents = [np.unique(draw.integers(0, 30_000, 600)) for _ in range(600)]
+    grades = draw.integers(0, 3, 600)
+    tracemalloc.start()
+    quality.fit(documents, grades, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 52 * sum(map(len, documents))

@@ -118,6 +118,12 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
 
 
+def _numbers(ids: np.ndarray, document: np.ndarray) -> np.ndarray:
+    """Places in the ascending ``ids`` of those features of a document that are among them."""
+    place = np.minimum(np.searchsorted(ids, document), len(ids) - 1)
+    return place[ids[place] == document]
+
+
 # How much a step may raise the loss; momentum raises it a little at times.
 TOLERANCE = 1e-3
 
@@ -133,14 +139,15 @@ def fit(documents: list[np.ndarray], grades: np.ndarray, penalty: float = PENALT
     thresholds = np.log(below / (1 - below))
     if not len(documents):
         return OrdinalModel({}, tuple(thresholds.tolist()))
-    rows = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    ids, column, seen = np.unique(np.concatenate(documents), return_inverse=True, return_counts=True)
+    ids, seen = np.unique(np.concatenate(documents), return_counts=True)
     kept = (seen >= LEAST_DOCS) & (seen <= MOST_SHARE * len(documents))
-    renumbered = np.cumsum(kept) - 1
-    entry = kept[column]
-    rows, column, ids, seen = rows[entry], renumbered[column[entry]], ids[kept], seen[kept]
+    ids, seen = ids[kept], seen[kept]
     if not len(ids):
         return OrdinalModel({}, tuple(thresholds.tolist()))
+    # Numbered document by document: an inverse of all entries at once takes several times their memory on the driver.
+    numbered = [_numbers(ids, d) for d in documents]
+    rows, column = np.repeat(np.arange(len(documents)), [len(d) for d in numbered]), np.concatenate(numbered)
+    del numbered
     # Rare features get larger steps; the curvature of a feature grows with its number of documents.
     width = np.bincount(rows, minlength=len(documents)).max()
     rate = 4.0 * len(documents) / np.sqrt(seen * float(seen.max())) / max(1.0, np.sqrt(width))
@@ -208,8 +215,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) ->
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> OrdinalModel:
     """Fit on the bounded sample, which is brought to the driver as feature numbers."""
     rows = training_rows(docs, labels, most).toArrow()
-    listed = rows.column("features").combine_chunks()
-    documents = [values.values.to_numpy() for values in listed] if len(listed) else []
+    # Chunk by chunk: the features are views of what arrived, not copies of it.
+    documents = [values.values.to_numpy() for chunk in rows.column("features").chunks for values in chunk]
     grades = rows.column("grade").to_numpy().astype(np.int64)
     order = np.lexsort(([int(d.sum()) for d in documents], grades)) if documents else []
     return fit([documents[i] for i in order], grades[order] if documents else grades)
