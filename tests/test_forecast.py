@@ -142,3 +142,14 @@ def test_looked_up_attributions_equal_the_definition():
     tables = treeshap.LeafTables(leaves, 13)
     assert np.abs(tables(values) - treeshap.attributions(values, leaves)).max() < 1e-9
     assert tables(values[:0]).shape == (0, 13) and not treeshap.LeafTables([], 13)(values).any()
+
+
+def test_given_features_are_not_built_again(four_lines, ramp, monkeypatch):
+    """A flow that has the features reads no line for them again."""
+    seen = []
+    monkeypatch.setattr(f, "feature_rows", lambda *args, **kwargs: seen.append("built"))
+    monkeypatch.setattr(f, "train", lambda *args, **kwargs: None)
+    monkeypatch.setattr(f, "predict", lambda model, rows: rows.withColumn("prediction", F.lit(1.0)))
+    given = f.forward_target(f.rolling_means(f.lags(f.calendar_features(f.with_repeat_rate(ramp, None)))))
+    rows, _, _, forecast = f.forecast_run(four_lines, everything=given)
+    assert seen == [] and rows.count() == 80 - 30 - 7 and forecast.count() == 1

@@ -135,8 +135,8 @@ def _flow(spark, folder) -> dict:
 
     def run() -> dict:
         tx = stored(spark, folder)
-        rows, predictions, final, reference = f.forecast_run(tx)
-        everything = stage(_features(spark, folder), "features")
+        everything = f.staged_features(tx)
+        rows, predictions, final, reference = f.forecast_run(tx, everything=everything)
         future = f.forecast(final, everything, "future")
         forecasts = reference.withColumn("mode", F.lit("reference")).unionByName(future.withColumn("mode", F.lit("future")))
         scored = stage(predictions, "predictions")

@@ -204,9 +204,19 @@ def evaluation_artifact(tx: DataFrame, rows: DataFrame, predictions: DataFrame)
     return merged.agg(*[F.max(c).alias(c) for c in merged.columns])
 
 
-def forecast_run(tx: DataFrame, rounds: int = 300, seed: int = 42, mode: str = "reference"):
-    """Features, split, evaluation model, final model and forecast from clean transactions."""
-    everything = stage(feature_rows(stage(daily_metrics(tx), "daily"), tx), "features")
+def staged_features(tx: DataFrame) -> DataFrame:
+    """``feature_rows`` of clean transactions, written once: one row per day, however many lines."""
+    return stage(feature_rows(stage(daily_metrics(tx), "daily"), tx), "features")
+
+
+def forecast_run(
+    tx: DataFrame, rounds: int = 300, seed: int = 42, mode: str = "reference", everything: DataFrame | None = None
+):
+    """Features, split, evaluation model, final model and forecast from clean transactions.
+
+    ``everything`` are the ``staged_features`` of the transactions, if the caller has them; the lines are not read then.
+    """
+    everything = staged_features(tx) if everything is None else everything
     rows = require_history(training_rows(everything))
     split = chrono_split(rows)
     evaluation_model = train(split.filter("is_train"), rounds, seed)
