@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tillwright.catalog import load
 from tillwright.operators import profile, rfm
 from tillwright.operators.cleaning import clean_transactions
 from tillwright.operators.sampling import _first_by_draw, stratified_day_sample
@@ -225,3 +226,19 @@ def test_drop_staged(spark):
     stage(spark.range(3), "gone")
     drop_staged(spark)
     assert stage(spark.range(3), "again").count() == 3
+
+
+def test_damaged_files_are_written_by_all_tasks(spark):
+    """A fixed number of writing tasks would have each of them hold a share of the lines that grows with the input."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "7"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        paths = load._damaged_files(spark, "/root/testdata/sf0.001")
+        files = [spark.read.text(path).select("_metadata.file_path").distinct().count() for path in paths[:2]]
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert files == [7, 7]

@@ -100,7 +100,8 @@ def _damaged_files(spark, folder):
         return write
 
     for at, header in enumerate((list(FILE_COLUMNS), TRANSACTION_COLUMNS)):
-        part = lines.filter(digit == at).select(csv.alias("value")).coalesce(4)
+        # As many files as tasks, whatever the size: each begins with the header.
+        part = lines.filter(digit == at).select(csv.alias("value"))
         part.mapInArrow(with_header(",".join(header)), "value string").write.text(f"{path}-{at}.csv")
     lines.filter(digit == 2).select(json.alias("value")).write.text(f"{path}-2.json")
     return [f"{path}-0.csv", f"{path}-1.csv", f"{path}-2.json"]
