@@ -77,3 +77,16 @@ def test_sketches_merge_within_their_error(spark):
     row = rollup.approximate_cardinality(rollup.day_sketches(many), 5).first()
     assert (row["rows"], row["products"], row["countries"]) == (200_000, 0, 1)
     assert abs(row["invoices"] - 200_000) < 200_000 * 3 * 1.04 / 64 and abs(row["customers"] - 60_000) < 60_000 * 3 * 1.04 / 64
+
+
+def test_uncleaned_lines_are_written_before_the_rollup_reads_them(spark, monkeypatch):
+    """The rollup reads its lines once per kind and for the measures; the tables are joined once for all of them."""
+    from tillwright.catalog import ENTRIES
+    from tillwright.catalog import rollup as catalog
+
+    given = []
+    monkeypatch.setattr(catalog.rollup, "build_rollup", lambda lines: given.append(lines))
+    monkeypatch.setattr(catalog.rollup, "cardinality_from", lambda built, columns: spark.sql(
+        "select 1 rows, 1 columns, 1 invoices, 1 products, 1 customers, 1 countries"))
+    ENTRIES["cardinality_from_rollup"].query(spark, "/root/testdata/sf0.001")
+    assert given and not [f for f in given[0].inputFiles() if "lineitem" in f]
