@@ -90,3 +90,31 @@ def test_uncleaned_lines_are_written_before_the_rollup_reads_them(spark, monkeyp
         "select 1 rows, 1 columns, 1 invoices, 1 products, 1 customers, 1 countries"))
     ENTRIES["cardinality_from_rollup"].query(spark, "/root/testdata/sf0.001")
     assert given and not [f for f in given[0].inputFiles() if "lineitem" in f]
+
+
+def test_members_are_shuffled_once(lines):
+    """One row per member meets its days and is numbered there: lines and pairs are not shuffled again to be numbered."""
+    pairs = lines.select(F.to_date("invoice_ts").alias("date"), F.col("customer_id").alias("member")).filter("member is not null")
+    numbered = rollup.number_members(pairs)
+    rows = numbered.collect()
+    assert len(rows) == pairs.select("member").distinct().count()
+    assert {(d, r["member"]) for r in rows for d in r["dates"]} == {tuple(r) for r in pairs.collect()}
+    assert sum(len(r["dates"]) for r in rows) == pairs.distinct().count()
+    plan = rollup._bitmaps(lines, "customers")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hash") == 2 and "Exchange range" not in plan
+    assert "Sort [array_min(" in plan
+
+
+def test_bitmaps_are_complete_in_every_task(spark, lines, tmp_path):
+    """Members of many tasks, none of which share a bucket; every kind of key counts as the lines do."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        built = rollup.write_rollup(lines, str(tmp_path / "many"))
+        assert built.members.filter("kind = 'invoices'").select("bucket").distinct().count() > 1
+        assert same(rollup.daily_from(built), kpi.daily_metrics(lines))
+        assert same(rollup.cardinality_from(built, len(lines.columns)), profile.cardinality(lines))
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)

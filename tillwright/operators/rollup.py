@@ -1,12 +1,12 @@
 """Daily rollup of transactions whose distinct counts can be merged: days to months, to any period, to the whole.
 
 Distinct counts of days can't be added up. The rollup keeps, per day and kind (invoice, customer, product, country), the
-set of members as bitmaps. Members are numbered once by a dictionary, in the order of their first day, so that the
+set of members as bitmaps. Members are numbered once, each task's in the order of their first day, so that the
 invoices of a day fill few bitmaps densely. Counting any period is a bit-wise union; no line is read again, and no row
 is replicated for each thing that is counted.
 
-A bitmap has 32,768 members in 4 KB. Pairs of day and member are combined before they are numbered, so a day or member
-that owns a large part of the lines is no larger than its different pairs.
+A bitmap has 32,768 members in 4 KB. Lines are combined to a row per member with its days before they are shuffled, the
+only time per kind, so a day or member that owns a large part of the lines is no larger than its different pairs.
 """
 
 from __future__ import annotations
@@ -35,31 +35,39 @@ class Rollup:
 
 
 def number_members(pairs: DataFrame) -> DataFrame:
-    """(member, number) of each member of ``pairs`` (date, member): from 1 on, with gaps between tasks, in the order of
-    first dates."""
-    first = pairs.groupBy("member").agg(F.min("date").alias("_first"))
-    ordered = first.repartitionByRange(F.col("_first").asc_nulls_last(), "member").sortWithinPartitions(
-        F.col("_first").asc_nulls_last(), "member")
-    # Staged, so that numbers given once do not change.
-    return stage(ordered.select("member", (F.monotonically_increasing_id() + 1).alias("number")), "numbers")
+    """(member, dates, number) of each member of ``pairs`` (date, member): its different dates, and a number from 1 on, with gaps
+    between tasks, in the order of first dates within a task.
 
+    Dates are combined before the shuffle, so a member has at most as many as there are days. Rows of a task are in one total
+    order when they are numbered, so a task that runs again gives the same numbers.
+    """
+    members = pairs.groupBy("member").agg(F.collect_set("date").alias("_known"), F.bool_or(F.col("date").isNull()).alias("_undated"))
+    none = F.array(F.lit(None).cast("date"))
+    ordered = members.sortWithinPartitions(F.array_min("_known").asc_nulls_last(), "member")
+    return ordered.select(
+        "member", F.when(F.col("_undated"), F.concat("_known", none)).otherwise(F.col("_known")).alias("dates"),
+        (F.monotonically_increasing_id() + 1).alias("number"))
 
-def day_members(tx: DataFrame, kind: str) -> DataFrame:
-    """Bitmaps of the members of one kind per day; rows without the member do not count."""
+
+def _bitmaps(tx: DataFrame, kind: str) -> DataFrame:
+    """(date, bucket, bitmap) of one kind. One row per member is spread over its dates, never a line."""
     pairs = tx.select(day_of(F.col("invoice_ts")).alias("date"), F.col(KINDS[kind]).alias("member")).filter("member is not null")
-    pairs = stage(pairs.distinct(), f"days-of-{kind}")
-    numbered = pairs.join(number_members(pairs), "member")
-    return (
-        numbered.groupBy("date", F.bitmap_bucket_number("number").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"))
-        .select("date", F.lit(kind).alias("kind"), "bucket", "bitmap")
-    )
+    numbered = number_members(pairs).select("number", F.explode("dates").alias("date"))
+    # All members of a bucket were numbered by one task, so bitmaps are complete before they are shuffled.
+    return numbered.groupBy("date", F.bitmap_bucket_number("number").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"))
+
+
+def day_members(tx: DataFrame, kind: str) -> DataFrame:
+    """Bitmaps of the members of one kind per day, staged; rows without the member do not count."""
+    staged = stage(_bitmaps(tx, kind), f"days-of-{kind}")
+    return staged.select("date", F.lit(kind).alias("kind"), "bucket", "bitmap")
 
 
 def write_rollup(tx: DataFrame, path: str, kinds: tuple[str, ...] = tuple(KINDS)) -> Rollup:
     """Build the rollup of transactions below ``path`` and return it. Lines without a date are kept under a null date."""
     for kind in kinds:
-        day_members(tx, kind).drop("kind").write.mode("overwrite").parquet(f"{path}/members/kind={kind}")
+        _bitmaps(tx, kind).write.mode("overwrite").parquet(f"{path}/members/kind={kind}")
     units = F.col("quantity")
     measures = tx.groupBy(day_of(F.col("invoice_ts")).alias("date")).agg(
         F.count(F.lit(1)).alias("rows"), F.sum("revenue").alias("revenue"),
