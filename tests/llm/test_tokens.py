@@ -47,6 +47,20 @@ def test_every_latin_letter(tokenizers):
                 assert encoder.encode(text) == ids.tobytes(), (path, text)
 
 
+def test_marks_after_a_word_are_encoded_once(tokenizers, monkeypatch):
+    """Words that end in marks take the ids of the word and of the run of marks; only the run goes through the whole tokenizer."""
+    words = ["for&&&", "Ertzßsch.***", "WITH,!!", "anat'", "x_", "it's.", "a.b!!", "...", "éê%%%", "İstan!!"]
+    for path, encoder in ((WORD, word_encoder(WORD)), (BYTE, byte_encoder(BYTE))):
+        encoder.pieces.clear()
+        seen, real = [], encoder.pieces.whole
+        monkeypatch.setattr(encoder.pieces, "whole", lambda text, seen=seen, real=real: seen.append(text) or real(text))
+        for text in (" ".join(words), "\n".join(words)):
+            ids = np.array(tokenizers[path].encode(text, add_special_tokens=False).ids, "<u4")
+            assert encoder.encode(text) == ids.tobytes()
+        assert {"&&&", ".***", ",!!", "%%%"} <= set(seen)
+        assert not [text for text in seen if text.strip().startswith(("for", "Ertz", "WITH", "anat", "x", "é"))]
+
+
 @settings(max_examples=80, deadline=None)
 @given(values=st.lists(st.integers(0, 70_000), max_size=700))
 def test_wavelet_matrix(values):

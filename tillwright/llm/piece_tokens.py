@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from string import punctuation as PUNCTUATION
 from struct import pack
 
 from tokenizers import Tokenizer
@@ -42,8 +43,8 @@ class _Marks(dict):
 class _Pieces(dict):
     """Piece -> ids as bytes, filled by the library on first sight.
 
-    A word of Latin letters is one pre-token, which the library's model takes directly; a full stop or comma after
-    such a word is a pre-token of its own. Every other piece goes through the whole tokenizer.
+    A word of Latin letters is one pre-token, which the library's model takes directly; the run of ASCII punctuation marks
+    that ends such a piece is a pre-token of its own. Every other piece goes through the whole tokenizer.
     """
 
     def __init__(self, tokenizer: Tokenizer, blanks_kept: bool):
@@ -54,17 +55,19 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         word = piece[1:] if piece[:1] == " " else piece
-        if _is_plain(word):
-            if self.blanks_kept:
-                ids = self._packed(self._tokens(("" if word is piece else self.blank) + self._written(word)))
-            elif (lower := word.lower()) != piece:
-                ids = self[lower]
-            else:
-                ids = self._packed(self._tokens(self._written(lower)))
-        elif piece[-1:] in (".", ",") and _is_plain(word[:-1]):
-            ids = self[piece[:-1]] + self[piece[-1]]
-        else:
+        head = word.rstrip(PUNCTUATION)
+        if not _is_plain(head):
             ids = self.whole(piece)
+        elif len(head) < len(word):
+            # Straight to the word's own entry, so that a capital with a mark does not fill three.
+            first = piece[: len(piece) - len(word) + len(head)]
+            ids = self[first if self.blanks_kept else first.lower()] + self[word[len(head) :]]
+        elif self.blanks_kept:
+            ids = self._packed(self._tokens(("" if word is piece else self.blank) + self._written(word)))
+        elif (lower := word.lower()) != piece:
+            ids = self[lower]
+        else:
+            ids = self._packed(self._tokens(self._written(lower)))
         if len(self) < REMEMBERED_PIECES:
             self[piece] = ids
         return ids
