@@ -5,7 +5,7 @@ from datetime import date, timedelta
 import pytest
 
 from tillwright.operators import backtest as b
-from tillwright.operators.anomaly import detect_from_transactions
+from tillwright.operators.anomaly import detect_from_revenue, detect_from_transactions
 from tillwright.operators.cleaning import clean_transactions
 from tillwright.operators.contribution import lines_on
 
@@ -54,6 +54,16 @@ def test_injected_shock_is_detected(tx, target):
     assert (row["true_positive"], row["false_negative"], row["recall"]) == (1, 0, 1.0)
 
 
+def test_detection_needs_no_more_than_dates_and_revenue(tx, target):
+    shocked = b.inject_uniform_shock(tx, target)
+    found = detect_from_revenue(shocked.select("invoice_ts", "revenue")).orderBy("date").collect()
+    whole = detect_from_transactions(shocked).orderBy("date").collect()
+    assert [(r["date"], r["is_anomaly"], r["severity"]) for r in found] == [(r["date"], r["is_anomaly"], r["severity"]) for r in whole]
+    assert [r["revenue"] for r in found] == pytest.approx([r["revenue"] for r in whole])
+    # Lines are not combined and replicated to count invoices and customers.
+    assert "Expand" not in detect_from_revenue(shocked)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_every_injected_member_becomes_the_top_cause(tx, target):
     lines = lines_on(tx, target).cache()
     targets = b.require_targets(b.select_targets(lines))

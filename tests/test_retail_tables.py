@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwright.operators.cleaning import clean_transactions
 from tillwright.operators.kpi import orders_by
+from tillwright.sources import retail_tables
 from tillwright.sources.retail_tables import raw_transactions
 
 FOLDER = "/root/testdata/sf0.001"
@@ -40,3 +41,14 @@ def test_clean_lines_are_the_same_by_either_plan(spark, large_plans):
     large = lines.agg(F.count(F.lit(1)), total).first()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
     assert clean_transactions(raw_transactions(spark, FOLDER)).agg(F.count(F.lit(1)), total).first() == large
+
+
+def test_partitions_follow_the_lines(spark, large_plans, monkeypatch):
+    total = F.sum(F.xxhash64("invoice", "stock_code", "quantity", "price").cast("decimal(38,0)"))
+    few = clean_transactions(raw_transactions(spark, FOLDER))
+    monkeypatch.setattr(retail_tables, "LINES_PER_TASK", 200)
+    many = clean_transactions(raw_transactions(spark, FOLDER))
+    # Neither merged to a few large ones nor shuffled once more to find copies.
+    assert _plan(many).count("Exchange ") == _plan(few).count("Exchange ")
+    assert many.rdd.getNumPartitions() == spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 200
+    assert many.agg(F.count(F.lit(1)), total).first() == few.agg(F.count(F.lit(1)), total).first()

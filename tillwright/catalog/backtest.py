@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tillwright.catalog.base import daily, register, stored
 from tillwright.catalog.investigation import LEADERS, LINES
 from tillwright.operators import backtest as b
-from tillwright.operators.anomaly import detect, detect_from_transactions
+from tillwright.operators.anomaly import detect, detect_from_revenue
 from tillwright.operators.contribution import all_contributions, lines_on, member_measures, rank_root_causes
 from tillwright.operators.kpi import daily_revenue
 from tillwright.plans.investigate import flagged_days
@@ -68,7 +68,7 @@ again AS (
   WINDOW w AS (ORDER BY date ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)))"""
 register(
     "detect_after_shock", "date:d revenue:c rolling_mean_30:f z_score:f is_anomaly:b",
-    lambda spark, folder: detect_from_transactions(_shocked(spark, folder)),
+    lambda spark, folder: detect_from_revenue(_shocked(spark, folder)),
     "SELECT *, coalesce(abs(z_score) >= 3, false) AS is_anomaly FROM again", views="daily", helpers=REDETECTED,
 )
 
@@ -76,7 +76,7 @@ register(
 def _shock_metrics(spark, folder):
     tx = stored(spark, folder)
     target = _target(spark, tx)
-    days = stage(detect_from_transactions(b.inject_uniform_shock(tx, target)), "detected")
+    days = stage(detect_from_revenue(b.inject_uniform_shock(tx, target)), "detected")
     return b.detection_metrics(target, days.filter("is_anomaly"), days)
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tillwright.session import MOST_PARTITIONS
+
+# Lines that one task sorts, joins and compares whole to find copies, at some 500 bytes of memory each.
+LINES_PER_TASK = 250_000
+
 
 @cache
 def _schema(path: str, session: str) -> StructType:
@@ -25,6 +30,12 @@ def _splits(path: str, session: str) -> int:
     return SparkSession.active().read.schema(_schema(path, session)).parquet(path).rdd.getNumPartitions()
 
 
+@cache
+def _rows(path: str, session: str) -> int:
+    """Rows of a table by its footers, counted once per session."""
+    return SparkSession.active().read.schema(_schema(path, session)).parquet(path).count()
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     path = f"{folder}/{name}.parquet"
     return spark.read.schema(_schema(path, spark.sparkContext.applicationId)).parquet(path)
@@ -43,12 +54,15 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     Lines meet their orders by invoice, after every other join: where the tables are too large to broadcast, the result
     is then partitioned by a column of its own, and what groups by whole lines or by invoices shuffles nothing again.
     An order has a row for either form of its invoice number; customers and countries are joined to orders, which are few.
+    Partitions are merged by their compressed bytes, which say little of the memory that sorting and comparing lines takes,
+    so from ``LINES_PER_TASK`` lines per core on their number follows that of the lines.
     """
     def table(name: str) -> DataFrame:
         return _table(spark, folder, name)
 
     c = F.col
-    splits = _splits(f"{folder}/lineitem.parquet", spark.sparkContext.applicationId)
+    source = f"{folder}/lineitem.parquet", spark.sparkContext.applicationId
+    splits, tasks = _splits(*source), min(MOST_PARTITIONS, _rows(*source) // LINES_PER_TASK)
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
     cancelled = (c("l_returnflag") == "R") & (c("l_linenumber") % 4 == 0)
     returned = (c("l_returnflag") == "A") & (c("l_linenumber") == 7)
@@ -77,6 +91,8 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
         )
         .withColumn("_invoice", F.concat("_prefix", c("o_orderkey").cast("string")))
     )
+    if tasks > spark.sparkContext.defaultParallelism:
+        lines, orders = lines.repartition(tasks, "invoice"), orders.repartition(tasks, "_invoice")
     copies = F.when(c("o_orderkey") % 50 == 0, 2).otherwise(1)
     return lines.join(orders, c("invoice") == c("_invoice")).select(
         "invoice",
