@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tillwright.operators import forecast as f
 from tillwright.operators import series_forecast as s
+from tillwright.operators.cleaning import clean_transactions
+from tillwright.operators.kpi import daily_metrics, daily_revenue
 
 KEYS = ("country",)
 
@@ -36,6 +38,26 @@ def model(split):
     return s.train_pooled(split, KEYS, rounds=15, depth=2)
 
 
+def test_rows_of_a_series_of_revenue_alone(rows):
+    known = rows.select("country", "date", "revenue")
+    alone = f.feature_rows(known, keys=KEYS)
+    assert not {"orders", "customers", "units_sold", "aov"} & set(alone.columns)
+    order = ["country", "date"]
+    assert alone.orderBy(order).collect() == rows.select(alone.columns).orderBy(order).collect()
+    gap = known.filter("day(date) != 9")
+    assert f.zero_fill(f.densify(gap, KEYS)).filter("day(date) = 9 and revenue = 0").count() == rows.filter("day(date) = 9").count()
+
+
+def test_daily_revenue_per_series(make_raw):
+    lines = clean_transactions(make_raw([
+        ("1", "A", "a", 2, "2020-01-01 10:00", 3.0, 1, "UK"), ("2", "A", "a", 1, "2020-01-01 11:00", 3.0, 2, "UK"),
+        ("3", "A", "a", 1, "2020-01-02 10:00", 5.0, 1, "DE"), ("4", "A", "a", 1, "2020-01-02 10:00", 7.0, 1, None), ("5", "A", "a", 1, None, 7.0, 1, "DE"),
+    ]))
+    got = sorted((r["country"], r["date"], r["revenue"]) for r in daily_revenue(lines, KEYS).collect())
+    assert got == [("DE", date(2020, 1, 2), 5.0), ("UK", date(2020, 1, 1), 9.0)]
+    assert got == sorted((r["country"], r["date"], r["revenue"]) for r in daily_metrics(lines, KEYS).collect())
+
+
 def test_split_is_chronological_per_series(split):
     for r in split.groupBy("country").agg(F.max(F.when(F.col("is_train"), F.col("date"))).alias("a"), F.min(F.when(~F.col("is_train"), F.col("date"))).alias("b"),
                                           F.count_if("is_train").alias("n"), F.count(F.lit(1)).alias("all")).collect():

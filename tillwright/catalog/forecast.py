@@ -6,7 +6,7 @@ from tillwright.catalog.base import clean, daily, register, stored
 from tillwright.operators import forecast as f
 from tillwright.operators import series_forecast as series
 from tillwright.operators import treeshap
-from tillwright.operators.kpi import daily_metrics
+from tillwright.operators.kpi import daily_metrics, daily_revenue
 from tillwright.plans.staging import once, stage
 
 DENSE = """filled AS (
@@ -265,11 +265,14 @@ COUNTRY = ("country",)
 
 
 def _series_flow(spark, folder) -> dict:
-    """Rows per country, their split, the predictions of the pooled model and the forecasts of every country, run once."""
+    """Rows per country, their split, the predictions of the pooled model and the forecasts of every country, run once.
+
+    The pooled model takes revenues and dates only, so orders and customers are not counted.
+    """
 
     def run() -> dict:
         tx = stored(spark, folder)
-        rows = stage(f.feature_rows(stage(daily_metrics(tx, COUNTRY), "daily-by-country"), keys=COUNTRY), "features-by-country")
+        rows = stage(f.feature_rows(stage(daily_revenue(tx, COUNTRY), "daily-by-country"), keys=COUNTRY), "features-by-country")
         split = stage(series.split_series(f.training_rows(rows), COUNTRY), "split-by-country")
         model = series.train_pooled(split, COUNTRY)
         return {

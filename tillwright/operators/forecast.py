@@ -42,8 +42,13 @@ def densify(daily: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def zero_fill(dense: DataFrame) -> DataFrame:
-    """Days without data have zero revenue, orders, customers and units; order value is 0 without orders."""
-    filled = dense.fillna(0, ["revenue", "orders", "customers", "units_sold"])
+    """Days without data have zero revenue, orders, customers and units; order value is 0 without orders.
+
+    Measures that the series does not have are left out.
+    """
+    filled = dense.fillna(0, [c for c in ("revenue", "orders", "customers", "units_sold") if c in dense.columns])
+    if "orders" not in filled.columns:
+        return filled
     return filled.withColumn("aov", F.when(F.col("orders") > 0, ratio_or_zero(F.col("revenue"), F.col("orders"))).otherwise(0.0))
 
 
