@@ -12,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tillwright.session import MOST_PARTITIONS
-
 # Lines that one task sorts, joins and compares whole to find copies, at some 500 bytes of memory each.
 LINES_PER_TASK = 250_000
 
@@ -55,14 +53,15 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
     is then partitioned by a column of its own, and what groups by whole lines or by invoices shuffles nothing again.
     An order has a row for either form of its invoice number; customers and countries are joined to orders, which are few.
     Partitions are merged by their compressed bytes, which say little of the memory that sorting and comparing lines takes,
-    so from ``LINES_PER_TASK`` lines per core on their number follows that of the lines.
+    so from ``LINES_PER_TASK`` lines per core on their number follows that of the lines, up to the session's shuffle
+    partitions: beyond 200 a shuffle sorts its rows, and tasks that scan whole files spill them.
     """
     def table(name: str) -> DataFrame:
         return _table(spark, folder, name)
 
     c = F.col
     source = f"{folder}/lineitem.parquet", spark.sparkContext.applicationId
-    splits, tasks = _splits(*source), min(MOST_PARTITIONS, _rows(*source) // LINES_PER_TASK)
+    splits, tasks = _splits(*source), min(int(spark.conf.get("spark.sql.shuffle.partitions")), _rows(*source) // LINES_PER_TASK)
     columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"]
     cancelled = (c("l_returnflag") == "R") & (c("l_linenumber") % 4 == 0)
     returned = (c("l_returnflag") == "A") & (c("l_linenumber") == 7)
